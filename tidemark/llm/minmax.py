@@ -242,9 +242,9 @@ with recursive w as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as s from w
 ), n as (select doc_id, count(*) as n from s group by 1
 ), p as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
 ), l as (
-  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)
 ), e as (select a, b from l union all select b, a from l
 ), reach as (
   select doc_id as node, doc_id as at from w
