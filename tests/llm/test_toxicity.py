@@ -4,7 +4,8 @@ import numpy as np
 
 from tidemark.llm import toxicity as tx
 
-DIR = "/root/testdata/sf0.01"
+#: sf0.01 has about thirty toxic labels to learn from: too few to tell anything.
+DIR = "/root/testdata/sf0.1"
 
 
 def test_windows_cover_all_words():
@@ -58,5 +59,5 @@ def test_held_out_documents(spark):
     found = [r for r in tx.op6_toxicity(spark, DIR).where("held_out").collect() if r.doc_id in labels]
     ranks = np.argsort(np.argsort([r.score for r in found]))
     y = np.array([labels[r.doc_id] for r in found])
-    assert (ranks[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum() > 0.75
-    assert np.mean([r.predicted == labels[r.doc_id] for r in found]) > 0.85
+    assert (ranks[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum() > 0.9
+    assert np.mean([r.predicted == labels[r.doc_id] for r in found]) > 0.95
