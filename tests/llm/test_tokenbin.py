@@ -31,7 +31,7 @@ def test_documents_round_trip(spark):
 @given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(["don't", "'s", " ", "　", "\x1c", "\x85", "é", "̸", "<|endoftext|>", "İ", "ΑΣ", "​", "\n", "12"])), max_size=12).map("".join))
 def test_chunks_give_the_ids_of_whole_texts(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert np.frombuffer(CHUNKED.ids([text])[0], "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(CHUNKED.ids([text])[0], CHUNKED.dtype).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 def test_rows(spark, tmp_path):

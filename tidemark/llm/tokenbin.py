@@ -1,7 +1,7 @@
 """Token ids as flat binary files.
 
-A data set is a folder. Each part has four flat little-endian files: `.ids` (unsigned 32-bit ids of
-all its documents, one after the other), `.off` (signed 64-bit: where each document begins in the
+A data set is a folder. Each part has four flat little-endian files: `.ids` (unsigned ids of all its
+documents, one after the other, of 16 bits if the vocabulary and the end id allow, else of 32), `.off` (signed 64-bit: where each document begins in the
 part, and the part's length at the end), `.doc` (signed 64-bit document ids) and `.has` (a byte for
 each document: 1 if its id is not null). Parts follow each other in ascending order of document id;
 `manifest.json` lists them with their bases, the prefix sums of their lengths. A reader maps the
@@ -40,18 +40,20 @@ class Encoder:
     characters whose standing as white space is in dispute are encoded in one piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        largest = max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.dtype = "<u2" if largest < 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without an end id."""
+        """Little-endian ids of each text, as wide as `dtype`, without an end id."""
         if len(self.kept) > CACHED_CHUNKS:
             self.kept.clear()
         kept, out = self.kept, []
@@ -107,8 +109,9 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
     store.create_dir(at, recursive=True)
 
     def work(batches):
-        encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, part = Encoder(tokenizer_path, end_id), TaskContext.get().partitionId()
+        width = np.dtype(encoder.dtype).itemsize
+        end = np.array([end_id], encoder.dtype).tobytes()
         lengths, ids, has, pieces = [], [], [], []
         for b in batches:
             ids.append(np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), "<i8"))
@@ -116,7 +119,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
             for k in range(0, b.num_rows, 64):
                 for x in encoder.ids(b.column(1).slice(k, 64).to_pylist()):
                     pieces.append(x + end)
-                    lengths.append(len(pieces[-1]) // 4)
+                    lengths.append(len(pieces[-1]) // width)
         if lengths:
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
             name = f"{out_dir}/part-{part:06d}"
@@ -124,6 +127,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
                 put(f"{name}.{suffix}", parts)
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(lengths)], "tokens": [int(offsets[-1])]})
 
+    dtype = Encoder(tokenizer_path, end_id).dtype
     dealt = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     # a salt by text parts rows of equal id, so that an id with many rows spans several partitions
     dealt = dealt.repartitionByRange(n, "i", "t").sortWithinPartitions("i", "t")
@@ -132,7 +136,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
     for part, count, tokens in rows:
         parts.append({"name": f"part-{part:06d}", "docs": count, "tokens": tokens, "base": base, "first": first})
         base, first = base + tokens, first + count
-    manifest = {"format": "flat-u32", "end_id": end_id, "docs": first, "tokens": base, "parts": parts}
+    manifest = {"format": "flat", "dtype": dtype, "end_id": end_id, "docs": first, "tokens": base, "parts": parts}
     put(f"{out_dir}/manifest.json", [json.dumps(manifest).encode()])
     return manifest
 
@@ -141,7 +145,8 @@ def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = False) -> Da
     """(doc_id, start, n_tokens, ids_crc32[, ids]) from the files, a row for each document."""
     store, at = store_of(f"{out_dir}/manifest.json")
     with store.open_input_file(at) as f:
-        parts = json.loads(f.read())["parts"]
+        manifest = json.loads(f.read())
+    parts, dtype = manifest["parts"], manifest["dtype"]
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     if not parts:
         return spark.createDataFrame([], schema)
@@ -149,12 +154,12 @@ def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = False) -> Da
     def work(batches):
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, off = mapped(f"{out_dir}/{name}.ids", "<u4"), mapped(f"{out_dir}/{name}.off", "<i8")
+                ids, off = mapped(f"{out_dir}/{name}.ids", dtype), mapped(f"{out_dir}/{name}.off", "<i8")
                 doc, has = mapped(f"{out_dir}/{name}.doc", "<i8"), mapped(f"{out_dir}/{name}.has", "u1")
                 for k in range(0, len(doc), 4096):
                     o = off[k : k + 4097]
                     cut = [ids[a:e] for a, e in zip(o[:-1], o[1:], strict=True)]
-                    out = {"doc_id": pa.array(doc[k : k + 4096], mask=has[k : k + 4096] == 0), "start": base + o[:-1], "n_tokens": np.diff(o), "ids_crc32": pa.array([zlib.crc32(c) for c in cut], pa.int64())}
+                    out = {"doc_id": pa.array(doc[k : k + 4096], mask=has[k : k + 4096] == 0), "start": base + o[:-1], "n_tokens": np.diff(o), "ids_crc32": pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], pa.int64())}
                     if with_ids:
                         out["ids"] = pa.array([c.astype("i8") for c in cut], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(out)
