@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +65,18 @@ class Encoder:
                 out.append(self.encode([text])[0])
             else:
                 chunks = text.split()
-                if new := list({c for c in chunks if c not in kept}):
+                if new := list(set(chunks).difference(kept)):
                     kept.update(zip(new, self.encode(new), strict=True))
                 out.append(b"".join(map(kept.__getitem__, chunks)))
         return out
 
 
+@lru_cache(1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One for each worker process, so that chunks stay known from task to task."""
+    return Encoder(path, end_id)
+
+
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
@@ -109,7 +116,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
     store.create_dir(at, recursive=True)
 
     def work(batches):
-        encoder, part = Encoder(tokenizer_path, end_id), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer_path, end_id), TaskContext.get().partitionId()
         width = np.dtype(encoder.dtype).itemsize
         end = np.array([end_id], encoder.dtype).tobytes()
         lengths, ids, has, pieces = [], [], [], []
