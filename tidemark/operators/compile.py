@@ -81,8 +81,12 @@ class Compiler:
             flags[id(e)] = found if e.op == "EXISTS" else ~found
         return df.where(predicate(condition, df.select(*names).schema, F.col, lambda e: flags[id(e)])).select(*names)
 
-    def rows(self, q: Query, by: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str, str]]]:
-        """Rows with their related arrays, limited; with `by`, ROW is the place in each group."""
+    def rows(self, q: Query, by: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str, str]], dict[str, str]]:
+        """Rows with their related arrays, limited; with `by`, ROW is the place in each group.
+
+        Related arrays have names of their own until the end, given in the last value: a relationship may
+        have the name of a column, whose place it then takes in the result.
+        """
         df, order = self.filtered(q)
         if by:
             df = df.withColumn(ROW, F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(order))))
@@ -90,38 +94,44 @@ class Compiler:
         elif q.limit is not None:
             df = df.orderBy(*sort_columns(order)).limit(q.limit)
         seen = [e.related for e in exists_in(q.where) if e.op == "EXISTS" and e.related.query.alias and not e.related.query.alias.startswith(HIDDEN_PREFIX)]
+        given = {}
         for r in (*q.related, *seen):
-            df = self.attach(df, r)
-        return df, order
+            df, given[r.name] = self.attach(df, r)
+        return df, order, given
+
+    @staticmethod
+    def shown(df: DataFrame, given: dict[str, str]) -> list:
+        """The columns of a result."""
+        return [F.col(c) for c in df.columns if c != ROW and c not in given and c not in given.values()] + [F.col(own).alias(name) for name, own in given.items()]
 
-    def attach(self, df: DataFrame, r: Related) -> DataFrame:
+    def attach(self, df: DataFrame, r: Related) -> tuple[DataFrame, str]:
         """Adds the ordered array of related rows, or the first one; empty (or null) without any."""
-        child, _ = self.rows(r.query, r.child)
+        child, _, given = self.rows(r.query, r.child)
         keys = key_names(len(r.child), f"r{next(self.numbers)}_")
         if r.hidden:
             inner = r.query.related[0]
-            values = F.transform(F.array(F.col(inner.name)), lambda x: x) if inner.one else F.col(inner.name)
+            values = F.array(F.col(given[inner.name])) if inner.one else F.col(given[inner.name])
             lists = child.select(*(F.col(c).alias(k) for c, k in zip(r.child, keys, strict=True)), ROW, values.alias("v"))
             lists = lists.dropna(subset=keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, "v"))).alias("all"))
             got = F.filter(F.flatten(F.transform("all", lambda x: x["v"])), lambda x: x.isNotNull())
         else:
-            body = F.struct(*(F.col(c) for c in child.columns if c != ROW))
+            body = F.struct(*self.shown(child, given))
             lists = child.select(*(F.col(c).alias(k) for c, k in zip(r.child, keys, strict=True)), ROW, body.alias("v"))
             lists = lists.dropna(subset=keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, "v"))).alias("all"))
             got = F.transform("all", lambda x: x["v"])
-        lists = lists.select(*keys, got.alias(r.name))
+        own = keys[0].replace("__r", "__related")
+        lists = lists.select(*keys, got.alias(own))
         on = all_of(F.col(p) == F.col(k) for p, k in zip(r.parent, keys, strict=True))
         out = df.join(lists, on, "left").drop(*keys)
-        value = F.col(r.name)
-        value = F.get(value, F.lit(0)) if r.one else F.coalesce(value, F.array())
-        return out.withColumn(r.name, value)
+        value = F.get(own, F.lit(0)) if r.one else F.coalesce(own, F.array())
+        return out.withColumn(own, value), own
 
     def run(self, q: Query, reverse: bool = False) -> DataFrame:
         if reverse:
             turned = total_order(q, self.catalog[q.table].key, self.catalog[q.table].load().columns)
             q = q.but(order_by=tuple((f, "desc" if d == "asc" else "asc") for f, d in turned))
-        df, order = self.rows(q)
-        return df.orderBy(*sort_columns(order))
+        df, order, given = self.rows(q)
+        return df.orderBy(*sort_columns(order)).select(*self.shown(df, given))
 
 
 def compile_query(q: Query, catalog: Catalog, reverse: bool = False) -> DataFrame:
