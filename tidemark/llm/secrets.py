@@ -83,7 +83,10 @@ def identifier_counts(docs: DataFrame, id_col: str, text_col: str, max_docs: int
                 total += transitions(found) + transitions(x.upper() for x in found) + transitions(x.capitalize() for x in found)
         yield pa.RecordBatch.from_pydict({"counts": [total.ravel().tolist()]})
 
-    picked = docs.select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(max_docs).select(text_col)
+    # ids first, so that the sort moves no texts; then their rows, where they lie
+    ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("i"), "i").limit(max_docs)
+    picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i", "left_semi").select("t")  # at most max_docs ids
     rows = picked.mapInArrow(count, "counts array<double>").collect()  # one row for each task
     return sum((np.array(r[0]) for r in rows), np.zeros(len(SYMBOLS) ** 2)).reshape(len(SYMBOLS), -1)
 
