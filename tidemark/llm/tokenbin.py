@@ -176,8 +176,8 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
 
     dtype = Encoder(tokenizer_path, end_id).dtype
     dealt = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    # a salt by text parts rows of equal id, so that an id with many rows spans several partitions
-    dealt = dealt.repartitionByRange(n, "i", "t").sortWithinPartitions("i", "t")
+    # a text's beginning parts rows of equal id and keeps their order; whole texts would be sampled into the driver
+    dealt = dealt.repartitionByRange(n, "i", F.substring("t", 1, 32)).sortWithinPartitions("i", "t")
     rows = sorted(dealt.mapInArrow(work, "part bigint, docs bigint, tokens bigint").collect())  # a row for each partition
     parts, base, first = [], 0, 0
     for part, count, tokens in rows:
