@@ -64,3 +64,14 @@ def test_estimates_are_unbiased():
     b = " ".join(f"t{k}" for k in range(111, 1111))
     x, y = (minmax.min_max(minmax.shingle_set(t, 1)) for t in (a, b))
     assert abs((x == y).mean() - 889 / 1111) < 0.1 and draw
+
+
+def test_parities_never_rule_out_similar_sets():
+    draw = random.Random(11)
+    for n in (1, 2, 50, 300, 3000):
+        for _ in range(20):
+            a = [str(draw.random()) for _ in range(n)]
+            b = [str(draw.random()) if draw.random() < 0.1 else w for w in a]
+            x, y = (minmax.shingle_set(" ".join(t), 1) for t in (a, b))
+            bits = sum(int(v).bit_count() for v in (minmax.parities(x) ^ minmax.parities(y)).view("u8"))
+            assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
