@@ -63,3 +63,16 @@ def test_rows_equal_brute_force(spark):
     assert sorted(found, key=repr) == brute(rows)
     assert {r[0]: r[2] for r in found}[5] == "GPL-3.0" and {r[0]: r[2] for r in found}[2] == "MIT"
     assert licenses.scan_licenses(docs.limit(0), licenses.F.col("p")).count() == 0
+
+
+def test_licence_files_wrapped_and_long_lines(spark):
+    filler = "lorem ipsum dolor sit amet " * 40
+    texts = dict(licenses.TEXTS)
+    header = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n"
+    paragraphs = "\n\n".join(" ".join(p.split()) for p in texts["MIT"].split("\n\n"))
+    rows = [("wrapped/LICENSE", "Copyright (c) 2020 Some One\n\n" + texts["MIT"], "MIT"), ("wrapped/a.py", filler, "MIT"), ("paragraphs/LICENSE", paragraphs, "MIT"), ("paragraphs/a.py", filler, "MIT"), ("gpl/COPYING", header, "GPL-3.0"), ("gpl/a/b.c", filler, "GPL-3.0")]
+    rows += [("long/a", filler + "Licensed under the Apache License, Version 2.0. " + filler, "Apache-2.0"), ("long/b", filler, None), ("gpl2/a", header.replace("version 3", "version 2").replace(":", ";"), "GPL-2.0")]
+    rows += [(f"full-{name}/{f}", t, name) for name, text in licenses.TEXTS for f, t in (("LICENSE", text), ("x", filler))]
+    docs = spark.createDataFrame([(k, t, p) for k, (p, t, _) in enumerate(rows)], "doc_id long, text string, p string")
+    found = {r.path: r.license for r in licenses.scan_licenses(docs, licenses.F.col("p")).collect()}
+    assert found == {p: want for p, _, want in rows}
