@@ -70,3 +70,27 @@ def test_several_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x a b c d e f g y"), (2, "a b c d e f g h i j k l m n"), (3, "none")], "doc_id long, text string")
     assert {r.doc_id: r["items"] for r in dc.find_leaks(docs, benchmark).collect()} == {1: [1], 2: [1, 2], 3: []}
     assert [r.doc_id for r in dc.without_leaks(docs, benchmark).collect()] == [3]
+
+
+def test_items_in_another_order_are_found():
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    for length, cut in ((60, 30), (60, 12), (40, 8), (60, 2), (59, 48)):
+        items = [(k, " ".join(draw.sample(words, length - k % 3))) for k in range(12)]
+        own = dc.Items(items)
+        for k in (0, 3):
+            item = items[k][1].split()
+            for before in (0, 1, 150):
+                text = " ".join(draw.choices(words, k=before) + item[cut:] + item[:cut] + draw.choices(words, k=150))
+                want = brute(text, items)
+                found = own.leaks(text)
+                assert k in want and found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_windows_with_enough_places():
+    draw = random.Random(6)
+    for _ in range(300):
+        n, length = draw.randrange(1, 40), draw.randrange(1, 12)
+        at = sorted(draw.sample(range(n), draw.randrange(n + 1)))
+        need, starts = draw.randrange(1, length + 1), max(0, n - length + 1)
+        assert dc.dense(at, length, need, starts) == [a for a in range(starts) if sum(a <= p < a + length for p in at) >= need]

@@ -1,16 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A benchmark item is a window of its own length. Wherever a document has one of the items' shingles,
-the windows of the item's length that this shingle lines up with get 64-bit SimHash fingerprints. A
-window without any of an item's shingles has similarity 0, so none is missed. Hamming blocks find
-all items within RADIUS bits of a fingerprint: two fingerprints that differ in at most RADIUS bits
-differ in at most RADIUS / BLOCKS bits in some block. Similarity of weighted shingles decides.
+A benchmark item is a window of its own length. For each length, all windows of a document with so
+many shingles of items of that length that similarity LEAST is possible get 64-bit SimHash
+fingerprints, in whatever order the shingles stand; others are less similar, so none is missed.
+Hamming blocks find all items within RADIUS bits of a fingerprint: two fingerprints that differ in at
+most RADIUS bits differ in at most RADIUS / BLOCKS bits in some block. Similarity of weighted shingles
+decides.
 
 Documents are not shuffled. The benchmark is read in blocks of bounded size, each sent to all tasks.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import combinations
@@ -85,26 +87,37 @@ class HammingBlocks:
         return sorted(k for k in found if (int(self.prints[k]) ^ p).bit_count() <= self.radius)
 
 
+def dense(at: list[int], length: int, need: int, starts: int) -> list[int]:
+    """Of the first `starts` windows of a length, by start, those with `need` or more of the ascending places `at`."""
+    out, done = [], 0
+    for first, last in zip(at, at[need - 1 :], strict=False):
+        if last - first < length:
+            found = range(max(done, last - length + 1), min(first + 1, starts))
+            out.extend(found)
+            done = max(done, found.stop)
+    return out
+
+
 class Items:
-    """A block of the benchmark: shingles to places in items, fingerprints, weights."""
+    """A block of the benchmark: shingles to lengths of items, fingerprints, weights."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.lengths, self.weights, prints = [], [], [], []
-        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        places: dict[tuple[int, int], set[int]] = {}
         for i, text in items:
             h = hashes_of(text)
             if not len(h):
                 continue
             size = min(SHINGLE, len(h))
             s = shingles(h, size)
-            for at, x in enumerate(s.tolist()):
-                places.setdefault((size, x), []).append((len(h), at))
+            for x in s.tolist():
+                places.setdefault((size, x), set()).add(len(h))
             self.ids.append(i)
             self.lengths.append(len(h))
             self.weights.append(Counter(s.tolist()))
             prints.append(int(fingerprints(s[None])[0]))
         self.sizes = sorted({size for size, _ in places})
-        self.places = {size: {x: sorted(set(p)) for (s, x), p in places.items() if s == size} for size in self.sizes}
+        self.places = {size: {x: sorted(p) for (s, x), p in places.items() if s == size} for size in self.sizes}
         self.sorted = {size: np.array(sorted(self.places[size]), np.uint64) for size in self.sizes}
         self.index = HammingBlocks(np.array(prints, np.uint64))
 
@@ -116,18 +129,21 @@ class Items:
             if not len(s):
                 continue
             at = np.flatnonzero(known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s)
-            windows: dict[int, set[int]] = {}
+            shared: dict[int, list[int]] = {}
             for p in at.tolist():
-                for length, q in self.places[size][int(s[p])]:
-                    windows.setdefault(length, set()).add(min(max(p - q, 0), max(len(h) - length, 0)))
-            for length, starts in windows.items():
-                order = sorted(starts)
+                for length in self.places[size][int(s[p])]:
+                    shared.setdefault(length, []).append(p)
+            for length, places in shared.items():
+                n = min(length, len(h)) - size + 1
+                # both / (n + length - size + 1 - both) is LEAST or more
+                need = max(1, math.ceil(LEAST * (n + length - size + 1) / (1 + LEAST) - 1e-9))
+                order = dense(places, n, need, len(s) - n + 1)
                 for k in range(0, len(order), 1024):
-                    rows = np.stack([s[a : a + min(length, len(h)) - size + 1] for a in order[k : k + 1024]])
+                    rows = np.stack([s[a : a + n] for a in order[k : k + 1024]])
                     for row, p in zip(rows, fingerprints(rows).tolist(), strict=True):
                         own = None
                         for item in self.index.near(p):
-                            if min(SHINGLE, self.lengths[item]) == size:
+                            if self.lengths[item] == length:
                                 own = own or Counter(row.tolist())
                                 score = similarity(own, self.weights[item])
                                 if score >= LEAST:
