@@ -114,3 +114,43 @@ def test_changes_match_null_keys(spark):
 def test_bad_trees(bad):
     with pytest.raises(ast.QueryError):
         ast.query(bad)
+
+
+def plainly(state, ops):
+    """The rows of `state` (by id) after events, one after the other."""
+    state = {k: dict(v) for k, v in state.items()}
+    for o in ops:
+        if o[1] == "truncate":
+            state = {}
+        elif o[1] == "delete":
+            state.pop(o[4]["id"], None)
+        else:
+            new, old = o[3], o[4]
+            if old and old["id"] != new["id"] and old["id"] in state:
+                state[new["id"]] = state.pop(old["id"])
+            state[new["id"]] = {"b": None, "n": None} | state.get(new["id"], {}) | new
+    return sorted(((k, v["b"], v["n"]) for k, v in state.items()), key=repr)
+
+
+def test_moved_rows_keep_what_the_batch_wrote(spark):
+    import random
+
+    draw = random.Random(4)
+    base = {k: {"id": k, "b": f"b{k}", "n": n} for n, k in enumerate("abcd")}
+    stored = spark.createDataFrame([(v["id"], v["b"], v["n"]) for v in base.values()], "id string, b string, n long")
+    up, ins = "update", "insert"
+    batches = [
+        [(1, up, "t", {"id": "a", "n": 9}, None), (2, up, "t", {"id": "x"}, {"id": "a"})],
+        [(1, ins, "t", {"id": "k", "b": "new", "n": 1}, None), (2, up, "t", {"id": "x", "n": 2}, {"id": "k"}), (3, "delete", "t", None, {"id": "k"})],
+        [(n, up, "t", {"id": f"k{n}"} | ({"n": 70} if n == 3 else {}), {"id": f"k{n - 1}" if n > 1 else "a"}) for n in range(1, 12)],
+        [(1, "truncate", None, None, None), (2, ins, "t", {"id": "a"}, None), (3, up, "t", {"id": "x"}, {"id": "a"})],
+        [(1, up, "t", {"id": "x"}, {"id": "a"}), (2, up, "t", {"id": "a"}, {"id": "b"}), (3, up, "t", {"id": "b"}, {"id": "x"})],  # two keys swapped
+    ]
+    for _ in range(4):
+        keys = "abcdefg"
+        row = lambda: {"id": draw.choice(keys)} | {c: v for c, v in (("b", f"v{draw.random()}"), ("n", draw.randrange(99))) if draw.random() < 0.4}
+        one = lambda n: draw.choice([(n, up, "t", row(), {"id": draw.choice(keys)})] * 6 + [(n, up, "t", row(), None), (n, ins, "t", row(), None), (n, "delete", "t", None, {"id": draw.choice(keys)})])
+        batches.append([one(n) for n in range(1, 40)])
+    for ops in batches:
+        ev = events(spark, *(dict(pos=o[0], kind="truncate", tables=["t"]) if o[1] == "truncate" else o for o in ops))
+        assert rows(cdc.fold(stored, ev, "t", ("id",))) == plainly(base, ops)

@@ -3,7 +3,8 @@
 An event has pos (its place in the stream), kind (begin, commit, insert, update, delete, truncate,
 relation), table, row and old_row (JSON objects; in row, an absent column is unchanged, which is not
 null), tables (of a truncate) and columns (of a relation). A batch of events is one aggregation by
-key: stored rows join in as events before all others, so no row is looked up or overwritten.
+row: stored rows join in as events before all others, so no row is looked up or overwritten. Rows are
+followed through the batch's moves of keys first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tidemark.llm.common import drop_written, written
 
 EVENTS = "pos long, lsn long, kind string, table string, row string, old_row string, tables array<string>, columns array<struct<name:string,type:string>>, renamed_from string"
 # fixed values: texts that are true when a column becomes boolean
@@ -34,12 +38,44 @@ def _key(row, key: tuple[str, ...]) -> list:
     return [row[k].alias(f"__k{n}") for n, k in enumerate(key)]
 
 
+def _timelines(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries with `live` (the key has a row just before), `line`, the row that they write or remove, and
+    `replaced` (a row that comes next takes the key).
+
+    A row starts at a write of a key without one, or where a move brings one along: `root`, if not null,
+    is the row that comes. Removals of missing keys are left out.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    entries = entries.withColumn("live", F.coalesce(~F.lag("gone").over(w), F.lit(False)))
+    start = ~F.col("gone") & (~F.col("live") | F.col("root").isNotNull())
+    own = F.struct(F.col("pos"), *keys, F.lit(False).alias("moved"))
+    line = F.last(F.when(start, F.coalesce("root", own)), ignorenulls=True).over(w)
+    entries = entries.withColumn("start", start).withColumn("line", line).withColumn("replaced", ~F.col("gone") & F.coalesce(F.lead("start").over(w), F.lit(False)))
+    return entries.where("not gone or live")
+
+
+def _roots(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(pos, root) of the moves that bring a row along: the row's first entry, through all its moves."""
+    alive = _timelines(entries, keys).where("leaving and live").select("pos")
+    came = F.struct(F.col("pos"), *keys, F.lit(True).alias("moved"))  # not known yet where this one started
+    arrivals = entries.where("arriving").drop("root").join(alive.withColumn("came", F.lit(True)), "pos", "left")
+    marked = entries.where("not arriving").unionByName(arrivals.withColumn("root", F.when(F.col("came"), came)).drop("came"))
+    links = written(_timelines(marked, keys).where("leaving and live").select("pos", F.col("line").alias("root")), "moves")
+    while not links.where("root.moved").isEmpty():  # twice as far each time
+        up = links.select(F.col("pos").alias("at"), F.col("root").alias("above"))
+        further = links.where("root.moved").join(up, F.col("root.pos") == F.col("at")).select("pos", F.col("above").alias("root"))
+        last, links = links, written(links.where("not root.moved").union(further), "moves")
+        drop_written(last)
+    return links
+
+
 def fold(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...]) -> DataFrame:
     """The table after the events: inserts and updates write, deletes and truncates remove.
 
     An insert of a stored key is an update, an update of a missing key an insert, a delete of a missing
-    key nothing. An update that moves a key removes the old one; columns that it leaves out keep what is
-    stored under the old key. Null parts of keys are values like others.
+    key nothing. An update that moves a key removes the old one; columns that it leaves out keep what the
+    row under the old key has just before, from the table or from events before, through any number of
+    moves; a row under the new key is replaced. Null parts of keys are values like others.
     """
     names = base.columns
     keys = [f"__k{n}" for n in range(len(key))]
@@ -48,30 +84,31 @@ def fold(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...]) -
     cleared = events.where((F.col("kind") == "truncate") & F.array_contains("tables", table)).agg(F.coalesce(F.max("pos"), F.lit(-2)).alias("cleared"))
     moved = F.lit(False)
     for k in key:
-        moved = moved | ((F.col("kind") == "update") & F.array_contains("had", k) & F.array_contains("has", k) & ~F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")))
+        moved = moved | F.coalesce((F.col("kind") == "update") & F.array_contains("had", k) & F.array_contains("has", k) & ~F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")), F.lit(False))
     nothing = F.lit(None).cast("array<string>")
     target = F.when(F.col("kind") == "delete", F.coalesce("o", "r")).otherwise(F.struct(*(F.when(F.array_contains("has", c), F.col(f"r.{c}")).otherwise(F.col(f"o.{c}") if c in key else F.lit(None)).alias(c) for c in names)))
-    written = own.select("pos", (F.col("kind") == "delete").alias("gone"), target.alias("v"), F.when(F.col("kind") != "delete", F.col("has")).alias("has"))
-    leaving = own.where(moved).select("pos", F.lit(True).alias("gone"), F.col("o").alias("v"), nothing.alias("has"))
-    # what a moved key leaves out comes from the row stored under the old key, just before the update
-    stored = base.select(F.struct(*names).alias("s"))
-    carry = own.where(moved).select("pos", "o", "r").join(stored, F.expr(" and ".join(f"o.`{k}` <=> s.`{k}`" for k in key)))
-    carried = carry.select((F.col("pos") - F.lit(0.5)).alias("pos"), F.lit(False).alias("gone"), F.struct(*((F.col(f"r.{c}") if c in key else F.col(f"s.{c}")).alias(c) for c in names)).alias("v"), F.array(*map(F.lit, names)).alias("has"))
-    before = base.select(F.lit(-1.0).alias("pos"), F.lit(False).alias("gone"), F.struct(*names).alias("v"), F.array(*map(F.lit, names)).alias("has"))
-    as_double = lambda df: df.select(F.col("pos").cast("double").alias("pos"), "gone", "v", "has")
-    every = before.union(as_double(written)).union(as_double(leaving)).union(carried)
-    every = every.join(F.broadcast(cleared), F.col("pos") > F.col("cleared"), "inner")  # one row
-    # state of a key: what its events wrote since it was last removed
-    keyed = every.select("pos", "gone", "v", "has", *_key(F.col("v"), key))
-    at = F.struct(F.col("pos"), (~F.col("gone")).alias("written"))
-    merged = keyed.groupBy(*keys).agg(
-        F.max(F.when(F.col("gone"), F.col("pos"))).alias("removed"),
-        F.max(at).alias("last"),
-        *(F.max_by(F.struct("pos", F.col(f"v.{c}").alias("v")), F.when(F.array_contains("has", c), F.col("pos"))).alias(f"__c{n}") for n, c in enumerate(names)),
+    off = F.lit(False)
+    writes = own.select("pos", (F.col("kind") == "delete").alias("gone"), target.alias("v"), F.when(F.col("kind") != "delete", F.col("has")).alias("has"), off.alias("leaving"), moved.alias("arriving"))
+    leaving = own.where(moved).select("pos", F.lit(True).alias("gone"), F.col("o").alias("v"), nothing.alias("has"), F.lit(True).alias("leaving"), off.alias("arriving"))
+    before = base.select(F.lit(-1).cast("long").alias("pos"), off.alias("gone"), F.struct(*names).alias("v"), F.array(*map(F.lit, names)).alias("has"), off.alias("leaving"), off.alias("arriving"))
+    root = f"struct<pos:bigint,{','.join(f'{n}:{base.schema[k].dataType.simpleString()}' for n, k in zip(keys, key, strict=True))},moved:boolean>"
+    kept = lambda df: df.join(F.broadcast(cleared), F.col("pos") > F.col("cleared"), "inner").drop("cleared")  # noqa: E731  # one row
+    entries = lambda df: kept(df).select("*", *_key(F.col("v"), key), F.lit(None).cast(root).alias("root"))
+    every = entries(before.union(writes).union(leaving))
+    if not own.where(moved).isEmpty():
+        # only keys that moves leave or reach tell where the moved rows come from
+        ends = entries(writes.where("arriving").union(leaving)).select(*(F.col(k).alias(f"{k}m") for k in keys)).distinct()
+        on = F.expr(" and ".join(f"{k} <=> {k}m" for k in keys))
+        slim = every.select("pos", "gone", "leaving", "arriving", *keys, "root")
+        roots = _roots(slim.join(ends, on, "left_semi"), keys)
+        arrivals = entries(writes.where("arriving")).drop("root").join(roots, "pos", "left")
+        every = entries(before.union(writes.where("not arriving")).union(leaving)).unionByName(arrivals)
+    # state of a row: what its entries wrote, the latest for each column; a row that leaves a key goes on elsewhere
+    merged = _timelines(every, keys).where("not leaving").groupBy("line").agg(
+        F.max_by(F.struct((F.col("gone") | F.col("replaced")).alias("gone"), *keys), "pos").alias("last"),
+        *(F.max_by(F.struct(F.col(f"v.{c}").alias("v")), F.when(F.array_contains("has", c), F.col("pos"))).alias(f"__c{n}") for n, c in enumerate(names)),
     )
-    alive = merged.where("last.written")
-    value = lambda n: F.when(F.col("removed").isNull() | (F.col(f"__c{n}.pos") > F.col("removed")), F.col(f"__c{n}.v"))
-    return alive.select(*((F.col(keys[key.index(c)]) if c in key else value(n)).alias(c) for n, c in enumerate(names)))
+    return merged.where("not last.gone").select(*((F.col(f"last.{keys[key.index(c)]}") if c in key else F.col(f"__c{n}.v")).alias(c) for n, c in enumerate(names)))
 
 
 def converted(column, old: T.DataType, new: str):
