@@ -82,3 +82,8 @@ def test_filters_reach_the_scan(spark):
     plan = QUERIES["related_limit_per_parent"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert predicates.kind_of_literal(True) == "boolean"
+
+
+def test_junction_covers_all_suppliers(spark, tables):
+    found = {r.s_suppkey for r in QUERIES["junction_flat_all"](spark, DIR).select("s_suppkey").distinct().collect()}
+    assert found == {k for (k,) in tables.sql("select s_suppkey from supplier").fetchall()}

@@ -203,6 +203,13 @@ flattened(
     "parts",
     "s_suppkey ord p_partkey p_name",
 )
+flattened(
+    "junction_flat_all",
+    "select s_suppkey, row_number() over (partition by s_suppkey order by l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as ord, p_partkey, p_name from supplier left join (lineitem join part on p_partkey = l_partkey) on l_suppkey = s_suppkey",
+    lambda t: t("supplier").related("parts"),
+    "parts",
+    "s_suppkey ord p_partkey p_name",
+)
 flattened(
     "visible_exists_flat",
     "select c_custkey, row_number() over (partition by c_custkey order by o_orderkey) as ord, o_orderkey from customer join orders on o_custkey = c_custkey where o_totalprice > 450000",
