@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import drop_written, written
+from tidemark.storage import drop_written, written
 
 EVENTS = "pos long, lsn long, kind string, table string, row string, old_row string, tables array<string>, columns array<struct<name:string,type:string>>, renamed_from string"
 # fixed values: texts that are true when a column becomes boolean
