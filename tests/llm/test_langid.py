@@ -48,3 +48,69 @@ def test_no_held_out_label_is_learned(spark):
     model = langid.learn(docs)
     out = {r.text for r in docs.where(held_out(docs.doc_id)).collect()}
     assert out and not out & set(model.words) and len(model.words) + len(out) >= 299
+
+
+def plainly(model, text):
+    """The same score, word by word."""
+    total, words = [0.0] * len(model.langs), []
+    word = ""
+    for c in f"{(text or '').lower()} ":
+        if c.isalpha():
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    if not words:
+        return "und", 0.0
+    for w in words:
+        row = None
+        if w in model.words:
+            logs = model.logs[model.words[w]]
+            row = [float(x) for x in logs]
+        else:
+            for n in range(model.longest, 0, -1):
+                padded, t = f"^{w}$", model.grams[n - 1]
+                known = [padded[k : k + n] for k in range(len(padded) - n + 1) if padded[k : k + n] in t.row]
+                if known:
+                    row = [(sum(float(t.logs[t.row[x]][g]) for x in known) - model.penalty * (model.longest - n)) / n for g in range(len(model.langs))]
+                    break
+            row = row or [0.0] * len(model.langs)
+            row = [x - sum(row) / len(row) for x in row]
+        total = [a + b for a, b in zip(total, row)]
+    best = max(range(len(total)), key=lambda g: (total[g], -g))
+    return model.langs[best], 1 / sum(math.exp(max(x - total[best], -700)) for x in total)
+
+
+def test_scores_equal_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs)
+    for r in langid.predict(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        lang, score = plainly(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
+
+
+def test_letters_in_mixed_runs():
+    assert langid.words_in("m²x 3kg a_b Straße's") == ["m", "x", "kg", "a", "b", "straße", "s"]
+    m = langid.WordBackoff({"a": {"foo": 3}, "b": {"bar": 4}})
+    assert all(m.predict(t)[0] != "und" for t in ("x²", "²m", "1x", "ª")) and m.predict("²³ 4_5")[0] == "und"
+
+
+def test_equal_scores_give_the_first_by_name():
+    m = langid.WordBackoff({"b": {"foo": 2, "y": 1}, "a": {"foo": 2, "x": 1}})
+    assert m.predict("foo foo") == ("a", 0.5)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the word number{k}", "en") for k in range(3000)] + [(5000 + k, "egy szo az", "hu") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, max_docs=100)
+    assert model.langs == ["en", "hu"] and model.predict("az egy")[0] == "hu"
+    assert 30 < sum(w.startswith("number") for w in model.words) + 30 < 250
+
+
+def test_old_caches_go(spark):
+    from tidemark.llm import common
+
+    made = []
+    assert common.kept("one", lambda: made.append(1) or "a") == "a" == common.kept("one", lambda: made.append(2))
+    assert common.kept("two", lambda: "b") == "b" and common.kept("one", lambda: "c") == "c" and made == [1]
