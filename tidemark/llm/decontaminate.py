@@ -7,7 +7,8 @@ Hamming blocks find all items within RADIUS bits of a fingerprint: two fingerpri
 most RADIUS bits differ in at most RADIUS / BLOCKS bits in some block. Similarity of weighted shingles
 decides.
 
-Documents are not shuffled. The benchmark is read in blocks of bounded size, each sent to all tasks.
+Documents are not shuffled and are read once. The benchmark lies in the shared folder in blocks of
+bounded size; a task holds a batch of documents and a few blocks at a time, however large either is.
 """
 
 from __future__ import annotations
@@ -19,24 +20,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, type_of
-from tidemark.llm.minmax import WordHashes, mixed
+from tidemark.llm.common import hashed, kept, new_path, slices, table, type_of
+from tidemark.llm.minmax import mixed
 
 SHINGLE, LEAST = 5, 0.8
 #: At similarity 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
 RADIUS, BLOCKS = 23, 6
 BLOCK_ITEMS, BLOCK_CHARS = 2000, 4_000_000
+#: Blocks that a worker process keeps, and documents that are compared with all blocks in turn.
+KEPT_BLOCKS, ROWS_AT_ONCE = 4, 1024
 WORDS = re.compile(r"\w+")
-KNOWN = WordHashes()
 
 
 def hashes_of(text: str | None) -> np.ndarray:
     """Hashes of a text's words: lower-cased runs of letters, digits and underscores."""
-    words = WORDS.findall(text.lower()) if text else []
-    return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
+    return hashed(WORDS.findall(text.lower()) if text else [])
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -122,8 +125,11 @@ class Items:
         self.index = HammingBlocks(np.array(prints, np.uint64))
 
     def leaks(self, text: str | None) -> dict[int, float]:
-        """Items found in a text, with the best similarity of a window."""
-        h, found = hashes_of(text), {}
+        return self.leaks_in(hashes_of(text))
+
+    def leaks_in(self, h: np.ndarray) -> dict[int, float]:
+        """Items found in a text's words, with the best similarity of a window."""
+        found: dict[int, float] = {}
         for size in self.sizes:
             s, known = shingles(h, size), self.sorted[size]
             if not len(s):
@@ -148,19 +154,45 @@ class Items:
                                 score = similarity(own, self.weights[item])
                                 if score >= LEAST:
                                     found[item] = max(score, found.get(item, 0.0))
-        return {self.ids[k]: score for k, score in found.items()}
+        out: dict[int, float] = {}
+        for k, score in found.items():
+            out[self.ids[k]] = max(score, out.get(self.ids[k], 0.0))
+        return out
+
+
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """Files in the shared folder with the benchmark in blocks of at most BLOCK_ITEMS items and about BLOCK_CHARS characters."""
+    own = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    count, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    path = new_path(own.sparkSession, "benchmark")
+    own.repartition(max(1, -(-count // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))).write.option("maxRecordsPerFile", BLOCK_ITEMS).parquet(path)
+    return sorted(own.sparkSession.read.parquet(path).inputFiles())
+
+
+class Blocks:
+    """The benchmark's blocks in a worker process: KEPT_BLOCKS of them stay, others are read again."""
 
+    def __init__(self, paths: list[str]):
+        self.paths, self.made = paths, {}
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark in blocks of at most BLOCK_ITEMS items and about BLOCK_CHARS characters."""
-    block, chars = [], 0
-    for r in benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or chars + len(r[1]) > BLOCK_CHARS):
-            yield block
-            block, chars = [], 0
-        block.append((r[0], r[1]))
-        chars += len(r[1])
-    yield block
+    def __iter__(self):
+        for path in self.paths:
+            if (own := self.made.get(path)) is None:
+                store, at = fs.FileSystem.from_uri(path)
+                rows = pq.read_table(at, filesystem=store)
+                own = Items(list(zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True)))
+                if len(self.made) < KEPT_BLOCKS:
+                    self.made[path] = own
+            yield own
+
+
+def leaks_of(texts: list[str | None], blocks: Blocks) -> list[dict[int, float]]:
+    """The items found in each text. A text's words are hashed once for all blocks."""
+    hashes, found = [hashes_of(t) for t in texts], [{} for _ in texts]
+    for items in blocks:
+        for h, own in zip(hashes, found, strict=True):
+            own |= {i: max(score, own.get(i, 0.0)) for i, score in items.leaks_in(h).items()}
+    return found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -168,44 +200,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     items: those of which some window of the item's length has a weighted five-word shingle similarity
     of LEAST or more, ascending; similarity: the best, null without any. Items of fewer than five words
-    are one shingle; items with null id or without words are found nowhere; equal items are each found.
-    Null and empty texts have no items; a null id stays null; repeated rows are each answered; an empty
-    table gives an empty table; other columns are not read.
+    are one shingle; items with null id or without words are found nowhere; equal items are each found,
+    rows of one item id count as one item, found by any of its texts. Null and empty texts have no items;
+    a null id stays null; repeated rows are each answered; an empty table gives an empty table, an empty
+    benchmark no items; other columns are not read.
     """
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<bigint>").alias("items"), F.lit(None).cast("double").alias("similarity"))
-    schema = f"id {type_of(docs, id_col)}, text string, items array<bigint>, similarity double"
-    for block in blocks_of(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    paths = blocks_of(benchmark, item_col, item_text_col)
 
-        def work(batches, sent=sent):
-            own = Items(sent.value)
-            for b in batches:
-                items, best = [], []
-                for t, before, most in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    new = own.leaks(t)
-                    items.append(sorted({*(before or ()), *new}))
-                    best.append(max([*new.values(), *([most] if most is not None else [])], default=None))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["id", "text", "items", "similarity"])
+    def work(batches):
+        blocks = kept(("decontaminate", *paths), lambda: Blocks(paths))
+        for b in slices(batches, ROWS_AT_ONCE):
+            found = leaks_of(b.column(1).to_pylist(), blocks)
+            items, best = [sorted(x) for x in found], [max(x.values(), default=None) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[id_col, "items", "similarity"])
 
-        found = found.mapInArrow(work, schema)
-    return found.select(F.col("id").alias(id_col), "items", "similarity")
+    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {type_of(docs, id_col)}, items array<bigint>, similarity double")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Rows of `docs`, all columns, in whose text no benchmark item is found."""
-    names = docs.columns
-    for block in blocks_of(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    """Rows of `docs`, all columns, in whose text no benchmark item is found.
+
+    Null and empty texts stay, and so do rows without id; repeated rows are each judged; an empty table
+    stays empty; with an empty benchmark all rows stay. Other columns pass through, whatever their names.
+    """
+    at, paths = docs.columns.index(text_col), blocks_of(benchmark, item_col, item_text_col)
 
-        def work(batches, sent=sent):
-            own = Items(sent.value)
-            for b in batches:
-                yield b.filter(pa.array([not own.leaks(t) for t in b.column(names.index(text_col)).to_pylist()], pa.bool_()))
+    def work(batches):
+        blocks = kept(("decontaminate", *paths), lambda: Blocks(paths))
+        for b in slices(batches, ROWS_AT_ONCE):
+            yield b.filter(pa.array([not x for x in leaks_of(b.column(at).to_pylist(), blocks)], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`find_leaks` of all of `benchmark` in all of `documents`; cases as stated there."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.round("similarity", 6).alias("similarity"))
