@@ -16,7 +16,8 @@ import os
 import re
 import uuid
 import zlib
-from functools import lru_cache
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, table
+from tidemark.llm.common import kept, new_path, slices, table
 
 END_ID = 1
-CACHED_CHUNKS, CACHED_PARTS = 900_000, 600_000
+#: What a worker process keeps: about 110 MB.
+CACHED_CHUNKS, CACHED_PARTS = 700_000, 450_000
+#: Bytes of text that a part has on average, at most.
+PART_BYTES = 256_000_000
+#: Names of files that are being written begin with this.
+UNFINISHED = ".writing-"
 #: Python's split() takes these for white space, the tokenizers' patterns don't.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 
@@ -111,23 +117,23 @@ class Encoder:
         return [b"".join(map(self.chunks.__getitem__, own)) if own else b"" for own in split]
 
 
-@lru_cache(1)
 def encoder_of(path: str, end_id: int) -> Encoder:
     """One for each worker process, so that chunks stay known from task to task."""
-    return Encoder(path, end_id)
+    return kept(("tokens", path, end_id), lambda: Encoder(path, end_id))
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def put(path: str, chunks) -> None:
-    """Writes under a name of its own, then moves: a second attempt at a task replaces whole files only."""
+@contextmanager
+def put(path: str):
+    """A stream whose file appears under its name when all is written: a second attempt at a task replaces whole files only."""
     store, at = store_of(path)
-    own = f"{at}.{uuid.uuid4().hex}"
+    folder, _, name = at.rpartition("/")
+    own = f"{folder}/{UNFINISHED}{uuid.uuid4().hex}-{name}"
     with store.open_output_stream(own) as f:
-        for c in chunks:
-            f.write(c)
+        yield f
     store.move(own, at)
 
 
@@ -146,45 +152,56 @@ def mapped(path: str, dtype: str) -> np.ndarray:
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, partitions: int | None = None) -> dict:
     """Writes all rows of `docs` in ascending order of id; returns the manifest.
 
-    Null ids come first; rows with equal ids stand in order of their text (null first). A null or
+    The files are written as the rows come, so a task holds a few texts at a time; a part's share of the
+    texts is PART_BYTES at most on average, unless `partitions` says how many there are. Null ids come
+    first; rows with equal ids stand in order of their text (null first). A null or
     empty text is its end id alone. An empty table gives a data set without parts. Other columns are
     not read. The tokenizer file is opened on each executor from `tokenizer_path`.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     store, at = store_of(out_dir)
     store.create_dir(at, recursive=True)
 
     def work(batches):
         encoder, part = encoder_of(tokenizer_path, end_id), TaskContext.get().partitionId()
-        width = np.dtype(encoder.dtype).itemsize
-        end = np.array([end_id], encoder.dtype).tobytes()
-        lengths, ids, has, pieces = [], [], [], []
-        for b in batches:
-            ids.append(np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), "<i8"))
-            has.append(np.asarray(b.column(0).is_valid().to_numpy(zero_copy_only=False), "u1"))
-            for k in range(0, b.num_rows, 64):
-                for x in encoder.ids(b.column(1).slice(k, 64).to_pylist()):
-                    pieces.append(x + end)
-                    lengths.append(len(pieces[-1]) // width)
-        if lengths:
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-            name = f"{out_dir}/part-{part:06d}"
-            for suffix, parts in (("ids", pieces), ("off", [offsets.tobytes()]), ("doc", [x.tobytes() for x in ids]), ("has", [x.tobytes() for x in has])):
-                put(f"{name}.{suffix}", parts)
-            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(lengths)], "tokens": [int(offsets[-1])]})
+        width, end = np.dtype(encoder.dtype).itemsize, np.array([end_id], encoder.dtype).tobytes()
+        first = next(batches, None)
+        if first is None:
+            return
+        name, docs, tokens = f"{out_dir}/part-{part:06d}", 0, 0
+        with put(f"{name}.ids") as ids, put(f"{name}.off") as off, put(f"{name}.doc") as doc, put(f"{name}.has") as has:
+            for b in slices(chain([first], batches), 64):  # written as they come
+                pieces = [x + end for x in encoder.ids(b.column(1).to_pylist())]
+                for x in pieces:
+                    ids.write(x)
+                lengths = np.fromiter((len(x) // width for x in pieces), np.int64, len(pieces))
+                ends = tokens + np.cumsum(lengths)
+                off.write((ends - lengths).astype("<i8").tobytes())
+                doc.write(np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), "<i8").tobytes())
+                has.write(np.asarray(b.column(0).is_valid().to_numpy(zero_copy_only=False), "u1").tobytes())
+                docs, tokens = docs + b.num_rows, int(ends[-1]) if len(ends) else tokens
+            off.write(np.array([tokens], "<i8").tobytes())
+        if docs:
+            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs], "tokens": [tokens]})
 
     dtype = Encoder(tokenizer_path, end_id).dtype
     dealt = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     # a text's beginning parts rows of equal id and keeps their order; whole texts would be sampled into the driver
-    dealt = dealt.repartitionByRange(n, "i", F.substring("t", 1, 32)).sortWithinPartitions("i", "t")
+    dealt = dealt.repartitionByRange(partitions, "i", F.substring("t", 1, 32)).sortWithinPartitions("i", "t")
     rows = sorted(dealt.mapInArrow(work, "part bigint, docs bigint, tokens bigint").collect())  # a row for each partition
+    for f in store.get_file_info(fs.FileSelector(at)):  # of attempts that were lost
+        if f.base_name.startswith(UNFINISHED):
+            store.delete_file(f.path)
     parts, base, first = [], 0, 0
     for part, count, tokens in rows:
         parts.append({"name": f"part-{part:06d}", "docs": count, "tokens": tokens, "base": base, "first": first})
         base, first = base + tokens, first + count
     manifest = {"format": "flat", "dtype": dtype, "end_id": end_id, "docs": first, "tokens": base, "parts": parts}
-    put(f"{out_dir}/manifest.json", [json.dumps(manifest).encode()])
+    with put(f"{out_dir}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
     return manifest
 
 
@@ -222,6 +239,7 @@ def default_tokenizer() -> str:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` written by `write_tokens` and read back from the files; cases as stated there."""
     out_dir = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), out_dir, default_tokenizer())
     return read_tokens(spark, out_dir)
