@@ -55,3 +55,19 @@ def test_rows(spark, tmp_path):
     assert pii.op1_pii(spark, str(tmp_path)).count() == 5
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(empty).count() == 0
+
+
+ADDRESS = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,3}? (?:Street|Lane)(?![A-Za-z])")
+PLACES = st.sampled_from(["12", "7b", "123456", " ", " ", "Baker", "High", "Of", "x", " Street", " Lane", "(", "\n", "é", "A", "Streets"])
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(PLACES, max_size=14).map("".join))
+def test_addresses_equal_their_pattern(text):
+    found = [s[1:] for s in pii.spans_of(text, pii.automaton()) if s[0] == "address"]
+    assert found == [m.span() for m in ADDRESS.finditer(text)]
+
+
+def test_long_street_names():
+    name = "A" + "b" * 500
+    assert pii.spans_of(f"at 5 {name} Street", pii.automaton()) == [("address", 3, 3 + 2 + 501 + 7)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, type_of
+from tidemark.llm.common import slices, table, type_of
 
 #: Kinds in order of report. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "address")
@@ -36,8 +36,9 @@ URL_TAIL = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
 URL_HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?::[0-9]{1,5})?(?=[/?#]|$)")
 IBAN_TAIL = re.compile(r"[\x20:#-]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT_TAIL = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|num\.?))?[\x20:#-]{1,3}([0-9](?:-?[0-9]){5,16})(?![0-9A-Za-z])")
-HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,3}$")
-STREET_REACH = 64
+HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?$")
+#: Words of a street's name at most.
+NAME_WORDS = 3
 
 
 def luhn(digits: str) -> bool:
@@ -120,13 +121,27 @@ def spans_of(text: str | None, found: "ahocorasick.Automaton") -> list[tuple[str
                 past["account"] = m.end(1)
                 spans.append(("account", m.start(1), m.end(1)))
         elif not text[last + 1 : last + 2].isalpha():
-            low = max(past["address"], at - STREET_REACH)
-            if m := HOUSE.search(text[low:at]):
+            if (start := house_before(text, past["address"], at)) is not None:
                 past["address"] = last + 1
-                spans.append(("address", low + m.start(), last + 1))
+                spans.append(("address", start, last + 1))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+def house_before(text: str, low: int, end: int) -> int | None:
+    """Where a house number begins, not before `low`, that one to NAME_WORDS capitalized words up to `end` follow."""
+    at = end
+    for _ in range(NAME_WORDS):
+        last = at
+        while at > low and "a" <= text[at - 1] <= "z":
+            at -= 1
+        if at == last or at < low + 2 or not "A" <= text[at - 1] <= "Z" or text[at - 2] != " ":
+            return None
+        at -= 2
+        if m := HOUSE.search(text, max(low, at - 6), at):
+            return m.start()
+    return None
+
+
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -141,7 +156,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def work(batches):
         found = automaton()
-        for b in batches:
+        for b in slices(batches):
             out = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, found)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, SPANS)], names=[id_col, "spans"])
 
@@ -154,6 +169,7 @@ def joined(spans) -> "F.Column":
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`find_pii` on all of `documents`, with counts and digests of the spans; cases as stated there."""
     found = find_pii(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select(
