@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, type_of
+from tidemark.llm.common import slices, table, type_of
 from tidemark.llm.pii import SPANS, joined
 
 #: Kinds in order of report. The first three are the base kinds.
@@ -34,8 +34,8 @@ ASSIGN = re.compile(rf"(?:{'|'.join(map(either_case, NAMES))})[\"']?\x20*[:=]\x2
 NAME_PARTS = ("pass", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
+SHORTEST = 20  # of candidates
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}(?![A-Za-z0-9+/_=-])")
 
 SYMBOLS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_.=-"
 CODE = np.zeros(128, np.int64)
@@ -64,31 +64,75 @@ def log_model(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
     return np.log(c / c.sum(axis=1, keepdims=True))
 
 
-def identifier_counts(docs: DataFrame, id_col: str, text_col: str, max_docs: int) -> np.ndarray:
-    """Transition counts of ordinary identifiers in at most `max_docs` texts, picked by hash of the id.
+#: Symbols of identifiers by byte (a dot ends one), and which of them are digits and letters.
+IDENTIFIER_CODE = np.full(256, -1, np.int64)
+IDENTIFIER_CODE[[ord(c) for c in SYMBOLS if c != "."]] = [k for k, c in enumerate(SYMBOLS) if c != "."]
+IS_DIGIT = np.array([c.isdigit() for c in SYMBOLS])
+IS_LETTER = np.array([c.isalpha() for c in SYMBOLS])
+UPPER = np.array([SYMBOLS.index(c.upper()) for c in SYMBOLS])
+LOWER = np.array([SYMBOLS.index(c.lower()) for c in SYMBOLS])
 
-    What comes to the driver are the counts, not the texts. Each identifier counts as written and in
-    upper and capitalized form, so that shouting alone is not taken for randomness. Base finds are left out.
+
+def ordinary_transitions(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of neighbouring symbols in a text's ordinary identifiers, and of the first two of each.
+
+    Runs of three symbols and more are identifiers. Labelled as ordinary are those too short for a
+    candidate, and those without a digit or without a letter: random strings have both.
     """
+    n = len(SYMBOLS)
+    x = IDENTIFIER_CODE[np.frombuffer(text + b" ", np.uint8)]
+    inside = x >= 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
+    mixed = np.logical_or.reduceat(inside & IS_DIGIT[x], begin) & np.logical_or.reduceat(inside & IS_LETTER[x], begin)
+    good = (end - begin >= 3) & ((end - begin < SHORTEST) | ~mixed)
+    pairs = x[:-1] * n + x[1:]
+    taken = np.repeat(good, end - begin)
+    at = np.flatnonzero(inside)[taken]
+    at = at[inside[at + 1]]
+    return np.bincount(pairs[at], minlength=n * n), np.bincount(pairs[begin[good]], minlength=n * n)
+
+
+def with_cases(every: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts (n, n) with those of the same identifiers in upper and in capitalized form, so that shouting alone is not taken for randomness."""
+    out = every.astype(float)
+    upper, rest = np.ix_(UPPER, UPPER), every - first
+    np.add.at(out, upper, every)
+    np.add.at(out, np.ix_(UPPER, LOWER), first)
+    np.add.at(out, np.ix_(LOWER, LOWER), rest)
+    return out
+
+
+def identifier_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Transition counts of the ordinary identifiers of all texts, without base finds.
+
+    Tasks emit counts by pair of symbols, and Spark sums them: the driver receives 68 x 68 rows at most.
+    """
+    n = len(SYMBOLS)
 
     def count(batches):
-        total = np.zeros((len(SYMBOLS), len(SYMBOLS)))
-        for b in batches:
+        every, first = np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
+        for b in slices(batches):
+            pieces = []
             for t in b.column(0).to_pylist():
-                kept, at = [], 0
-                for _, s, e in base_spans(t):
-                    kept.append(t[at:s])
-                    at = max(at, e)
-                found = IDENTIFIER.findall(" ".join([*kept, t[at:]]) if t else "")
-                total += transitions(found) + transitions(x.upper() for x in found) + transitions(x.capitalize() for x in found)
-        yield pa.RecordBatch.from_pydict({"counts": [total.ravel().tolist()]})
-
-    # ids first, so that the sort moves no texts; then their rows, where they lie
-    ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("i"), "i").limit(max_docs)
-    picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i", "left_semi").select("t")  # at most max_docs ids
-    rows = picked.mapInArrow(count, "counts array<double>").collect()  # one row for each task
-    return sum((np.array(r[0]) for r in rows), np.zeros(len(SYMBOLS) ** 2)).reshape(len(SYMBOLS), -1)
+                if t:
+                    at = 0
+                    for _, s, e in base_spans(t):
+                        pieces.append(t[at:s])
+                        at = max(at, e)
+                    pieces.append(t[at:])
+            more = ordinary_transitions(" ".join(pieces).encode("utf-8", "surrogatepass"))
+            every, first = every + more[0], first + more[1]
+        own = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(every[own]), pa.array(first[own])], names=["pair", "n", "first"])
+
+    rows = docs.select(text_col).mapInArrow(count, "pair bigint, n bigint, first bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).collect()  # one row a pair of symbols
+    every, first = np.zeros(n * n), np.zeros(n * n)
+    for r in rows:
+        every[r["pair"]], first[r["pair"]] = r["n"], r["first"]
+    return with_cases(every.reshape(n, n), first.reshape(n, n))
 
 
 def ratios(ordinary: np.ndarray, samples: int = 3000, seed: int = 11) -> np.ndarray:
@@ -126,17 +170,18 @@ def spans_of(text: str | None, models: np.ndarray, margin: float) -> list[tuple[
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2000, margin: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.5) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>), one row for each row of `docs`, whole texts.
 
-    The ordinary model learns from at most `max_docs` texts; every text is scanned. A null or empty
-    text has no spans; a null id stays null; repeated rows are each answered; an empty table gives an
+    The ordinary model learns from the identifiers of all texts, labelled by rule; every text is scanned,
+    whole, with memory in proportion to a few texts. Ties between a random kind and the ordinary one count
+    as ordinary. A null or empty text has no spans and teaches nothing; a null id stays null; repeated rows are each answered; an empty table gives an
     empty table; other columns are not read, so their names cannot clash.
     """
-    models = ratios(identifier_counts(docs, id_col, text_col, max_docs))
+    models = ratios(identifier_counts(docs, text_col))
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, models, margin)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, SPANS)], names=[id_col, "spans"])
 
@@ -145,6 +190,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`find_secrets` on all of `documents`, with counts and digests of the spans; cases as stated there."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select(
