@@ -63,3 +63,24 @@ def test_copies_equal_brute_force(spark):
     out = mixing.mixed(docs, keys, weights, budget, epochs)
     assert out.columns == docs.columns and out.count() == sum(found.values())
     assert mixing.mixed(docs.limit(0), keys, {}).count() == 0
+
+
+def test_budgets_equal_the_plain_rule(spark, monkeypatch):
+    draw = random.Random(6)
+    for weights, budget, epochs in (({"a": {"p": 3.0, "q": 0.0}, "b": {"x": 9.0}}, 0.3, 1.0), ({"c": {"1": 50.0}}, 1.0, 2.0), ({}, 5.0, 2.5)):
+        tokens = {(draw.choice("pqr"), draw.choice("xyz"), str(k % 4)): draw.choice([0, 1, 10, 1000, 10**9]) for k in range(40)}
+        leaves = spark.createDataFrame([(*leaf, n) for leaf, n in tokens.items()], "k0 string, k1 string, k2 string, n long")
+        found = {tuple(r)[:3]: r.given for r in mixing.budgets(leaves, weights, ("a", "b", "c"), ["k0", "k1", "k2"], budget, epochs).collect()}
+        want = mixing.allocate(budget * sum(tokens.values()), tokens, weights, ("a", "b", "c"), epochs)
+        assert found.keys() == want.keys()
+        assert all(abs(found[k] - want[k]) <= 1e-6 * max(1, want[k]) for k in want)
+
+
+def test_many_leaves_are_joined(spark, monkeypatch):
+    rows = [(k, "w " * (k % 7), f"d{k % 90}", "en") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copies string, g string")
+    keys = {"d": mixing.F.col("copies"), "g": mixing.F.col("g")}
+    out = [sorted(map(tuple, mixing.mixed(docs, keys, {}, 0.4, 1.0).collect()))]
+    monkeypatch.setattr(mixing, "SENT_LEAVES", 10)
+    out.append(sorted(map(tuple, mixing.mixed(docs, keys, {}, 0.4, 1.0).collect())))
+    assert out[0] == out[1] and 100 < len(out[0]) < 600

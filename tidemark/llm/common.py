@@ -29,6 +29,13 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one, that is no column of `df`."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def held_out(column) -> "F.Column":
     """Documents whose labels no model may learn from: a fifth, by checksum of the id."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
