@@ -61,3 +61,31 @@ def test_held_out_documents(spark):
     y = np.array([labels[r.doc_id] for r in found])
     assert (ranks[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum() > 0.9
     assert np.mean([r.predicted == labels[r.doc_id] for r in found]) > 0.95
+
+
+def test_scores_equal_a_plain_loop_over_all_windows():
+    draw = random.Random(9)
+    net = tx.Network(2)
+    texts = [" ".join(draw.choices(["some", "words,", "here", "x" * 20, "é", "-"], k=n)) for n in (1, 2, 31, 32, 33, 47, 48, 49, 200, 900)] + [None, "", " \n"]
+    want = []
+    for t in texts:
+        words = tx.plain_words(t)
+        best = -np.inf
+        at = 0
+        while True:
+            own = words[at : at + tx.WINDOW]
+            x = net.projected(net.inputs(own))[None]
+            best = max(best, float(net.pooled(x, None)[0][0]))
+            if at + tx.WINDOW >= len(words):
+                break
+            at = min(at + tx.STRIDE, len(words) - tx.WINDOW)
+        want.append(best)
+    assert np.allclose(tx.Scorer(net).logits(texts), want, atol=1e-4)
+
+
+def test_long_texts_are_learned_from_all_over():
+    words = [f"w{k}" for k in range(50_000)]
+    own = tx.condensed(" ".join(words), 3200).split()
+    assert len(own) <= 3200 + tx.WINDOW and own[0] == "w0" and own[-1] == "w49999"
+    assert max(int(b[1:]) - int(a[1:]) for a, b in zip(own, own[1:])) < 1000
+    assert tx.condensed("Some  Words", 3200) == "some words"

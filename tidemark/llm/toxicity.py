@@ -9,6 +9,7 @@ reads each text once, without a shuffle.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, table, type_of, words_of
+from tidemark.llm.common import held_out, kept, slices, table, type_of, words_of
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, SIZE, ATTENTION = 8, 8, 8
 WORD_ROWS, GRAM_ROWS, GRAMS = 16_384, 16_384, (3, 6)
-WORDS_KEPT = 300_000
+#: Words whose projected inputs a worker process keeps: about 60 MB.
+WORDS_KEPT = 200_000
 STRIP = b".,;:!?\"'()[]{}#*$%&|<>"
 
 
@@ -278,22 +280,41 @@ def train(texts: list[str], labels: list[int], share: float, rounds: int = 5, ba
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, max_chars: int = 20_000) -> Network:
-    """A network from at most `max_each` labelled texts of either label, of at most `max_chars` characters
-    each, picked by hash of the id, none of them held out. A document labelled twice has its larger label;
-    null labels teach nothing."""
+def condensed(text: str, max_words: int) -> str:
+    """A text as it is learned from: one of more than `max_words` words by as many whole windows, spread evenly from its first to its last."""
+    words = words_of(text)
+    if len(words) > max_words:
+        every = list(starts(len(words)))
+        own = [every[k] for k in np.linspace(0, len(every) - 1, max(2, max_words // WINDOW)).round().astype(int)]
+        words = [w for s in own for w in words[s : s + WINDOW]]
+    return b" ".join(words).decode("utf-8", "surrogatepass")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, max_words: int = 8000) -> Network:
+    """A network from at most `max_each` labelled texts of either label, picked by hash of the id whatever
+    their length, none of them held out.
+
+    A text of more than `max_words` words is learned from windows of it, spread evenly over all of it, so
+    that the driver receives a bounded amount. A document labelled twice has its larger label; one with
+    several texts is learned by the smallest; null labels, null ids and null texts teach nothing. Without
+    labels of both kinds all texts score alike.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    short = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("i")).distinct()
-    usable = known.join(short, "i", "left_semi")
+    usable = known.join(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i")), "i", "left_semi")
     share = known.agg(F.avg("y")).first()[0] or 0.0
     picked = None
     for y in (0, 1):
         own = usable.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(max_each)
         picked = own if picked is None else picked.union(own)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") <= max_chars).join(F.broadcast(picked), "i")  # at most 2 * max_each rows
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(picked), "i")  # at most 2 * max_each rows
+
+    def work(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([condensed(t, max_words) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["i", "t", "y"])
+
     sample = {}
-    for r in rows.toLocalIterator():
+    for r in rows.select("i", "t", "y").mapInArrow(work, f"i {type_of(docs, id_col)}, t string, y int").toLocalIterator():
         sample[r.i] = min((r.t, r.y), sample.get(r.i, (r.t, r.y)))
     sample = [sample[i] for i in sorted(sample)]
     return train([t for t, _ in sample], [y for _, y in sample], share)
@@ -305,19 +326,18 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored as a lone full stop. A null id stays null; repeated rows are each
     answered; an empty table gives an empty table; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent, name = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
 
     def work(batches):
-        own = Scorer(sent.value)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(own.logits(part.column(1).to_pylist())), pa.float64())], names=[id_col, "score"])
+        own = kept(("toxicity", name), lambda: Scorer(sent.value))
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(own.logits(b.column(1).to_pylist())), pa.float64())], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {type_of(docs, id_col)}, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score` of all of `documents`, learned from `labels` that are not held out; cases as stated there."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
