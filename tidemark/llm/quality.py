@@ -2,7 +2,7 @@
 
 The counts of a document are taken inside its row: no words are exploded and nothing is shuffled for
 them. They are written once, slim, and read twice: summed by host (pre-aggregated, so that a hot host
-costs each task one row), and joined with the host's verdict.
+costs each task one row), and joined with the host's verdict, which goes to where the documents are.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ MOST_SYMBOLS, MOST_LINES, WORD_LENGTHS = 10, 30, (2, 25)
 MOST_FAILED = 0.5
 #: The prior's weight in documents, where the hosts' rates don't tell it.
 DEFAULT_WEIGHT = 10.0
+#: So many hosts' verdicts, some MB, are sent to all tasks; more are joined.
+SENT_HOSTS = 100_000
 
 
 def measured(docs: DataFrame, keys: list, text) -> DataFrame:
@@ -60,18 +62,20 @@ def with_rules(counts: DataFrame) -> DataFrame:
     return counts.withColumn("base_failed", base).withColumn("failed", base | more)
 
 
-def host_verdicts(rows: DataFrame) -> DataFrame:
-    """(host, host_rate): each host's expected share of failed documents, shrunk to the rates of all hosts.
+def host_verdicts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(host, host_rate), each host's expected share of failed documents, shrunk to the rates of all hosts;
+    and the number of hosts.
 
     The beta prior is fitted by moments to the hosts' own rates; where they are too few or too much
-    alike or apart for that, its weight is DEFAULT_WEIGHT documents.
+    alike or apart for that, its weight is DEFAULT_WEIGHT documents. Hosts are written, so that a join
+    with them isn't tied to the aggregation's partitions.
     """
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
+    hosts = written(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f")), "hosts")
     rate = F.col("f") / F.col("n")
     mean, var, count = hosts.agg(F.avg(rate), F.var_samp(rate), F.count("*")).first()
     weight = mean * (1 - mean) / var - 1 if count > 2 and var else DEFAULT_WEIGHT
     weight = weight if weight > 0 else DEFAULT_WEIGHT
-    return hosts.select("host", F.round((F.col("f") + F.lit((mean or 0.0) * weight)) / (F.col("n") + F.lit(weight)), 6).alias("host_rate"))
+    return hosts.select("host", F.round((F.col("f") + F.lit((mean or 0.0) * weight)) / (F.col("n") + F.lit(weight)), 6).alias("host_rate")), count
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -79,17 +83,20 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kept: no base rule failed and the host's rate is at most MOST_FAILED. A null text has no words and
     fails; rows without host share the host ''; a null id stays null; repeated rows are each judged and
-    counted; an empty table gives an empty table; other columns are not read.
+    counted; an empty table gives an empty table; other columns are not read. Verdicts of up to
+    SENT_HOSTS hosts go to the documents; of more hosts, both are dealt by host and a hot one is split.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     counts = measured(docs, [F.col(id_col).alias("id"), host.alias("host")], F.col(text_col))
     rows = with_rules(written(counts, "quality"))
-    out = rows.join(host_verdicts(rows), "host")
+    verdicts, hosts = host_verdicts(rows)
+    out = rows.join(F.broadcast(verdicts) if hosts <= SENT_HOSTS else verdicts, "host")
     kept = ~F.col("base_failed") & (F.col("host_rate") <= MOST_FAILED)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "host_rate", kept.alias("kept"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`judge_quality` on all of `documents`, sources standing in for hosts; cases as stated there."""
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
