@@ -6,9 +6,10 @@ a pair shares none of 40 bands with probability 1.2e-7.
 
 Nothing lists all pairs of a bucket. Documents with equal shingle sets are one node. In every bucket
 the nodes are compared with one centre; what the confirmed links leave apart is then compared
-across, and only across, the groups that still meet in a bucket. There, parities of 1024 bins of each
-set rule out pairs before any text travels: sets differ in at least as many shingles as bins differ in
-parity, so no pair that is similar enough is lost. Links are confirmed on full sets.
+across, and only across, the groups that still meet in a bucket, a pair once, in the first bucket that
+it shares. Parities of 1024 bins of each set rule out pairs before any text travels: sets differ in at
+least as many shingles as bins differ in parity, so no pair that is similar enough is lost. Links are
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -17,18 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_written, table, words_of, written
+from tidemark.llm.common import drop_written, hashed, slices, table, words_of, written
 
 PERMUTATIONS, ROWS, BANDS = 100, 5, 40
 #: Pairs whose 64-bit sketches differ in more bits are not confirmed: at similarity 0.8 the mean is 6.4, the deviation 2.4.
 SKETCH_RADIUS = 24
 #: Longs that hold the parities of a set's bins.
 PARITIES = [f"o{k}" for k in range(16)]
-WORDS_KEPT = 500_000
 BLOCK = 4096
 
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -40,23 +39,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-KNOWN = WordHashes()
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of `size` words; of the whole sequence if it is shorter."""
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
+    h = hashed(words)
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), np.uint64)
     for k in range(min(size, len(h))):
@@ -105,22 +93,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     """(id, n, d1, d2, sketch, bands, parities) of each row; n = 0 and no bands without words."""
 
     def work(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                out = {k: [] for k in ("n", "d1", "d2", "sketch", "bands")}
-                odd = []
-                for t in b.column(1).slice(at, 512).to_pylist():
-                    s = shingle_set(t, size)
-                    v = min_max(s) if len(s) else None
-                    out["n"].append(len(s))
-                    out["d1"].append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
-                    out["d2"].append(int(mixed(s * STEP).sum(dtype=np.uint64).view(np.int64)))
-                    out["sketch"].append(0 if v is None else sketch(v))
-                    out["bands"].append([] if v is None else bands(v).view(np.int64).tolist())
-                    odd.append(parities(s))
-                ids = b.column(0).slice(at, 512)
-                columns = [*(pa.array(out[k], pa.int64()) for k in ("n", "d1", "d2", "sketch")), pa.array(out["bands"], pa.list_(pa.int64())), *map(pa.array, np.array(odd).T.copy())]
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", *out, *PARITIES])
+        for b in slices(batches):
+            out = {k: [] for k in ("n", "d1", "d2", "sketch", "bands")}
+            odd = []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, size)
+                v = min_max(s) if len(s) else None
+                out["n"].append(len(s))
+                out["d1"].append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
+                out["d2"].append(int(mixed(s * STEP).sum(dtype=np.uint64).view(np.int64)))
+                out["sketch"].append(0 if v is None else sketch(v))
+                out["bands"].append([] if v is None else bands(v).view(np.int64).tolist())
+                odd.append(parities(s))
+            columns = [*(pa.array(out[k], pa.int64()) for k in ("n", "d1", "d2", "sketch")), pa.array(out["bands"], pa.list_(pa.int64())), *map(pa.array, np.array(odd).T.copy())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *out, *PARITIES])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(work, "id long, n long, d1 long, d2 long, sketch long, bands array<long>" + "".join(f", {o} long" for o in PARITIES))
@@ -131,7 +117,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def work(batches):
         last, own = None, None
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if x != last:
@@ -167,22 +153,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) reaches.
 
     Alternating large-star and small-star steps, each a pre-aggregated minimum and a join, until the
-    edges are stars around their minima; a written table after each round ends the lineage.
+    edges are stars around their minima; a written table after each round ends the lineage. Minima are
+    written before they are joined, so that nothing ties the join to the aggregation's partitions and a
+    node with very many partners is split over tasks.
     """
-    now, seen = written(edges.where("a <> b").distinct(), "edges"), None
+    now = written(edges.where("a <> b").distinct(), "edges")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"), F.col("m").alias("a"))
-        small = small.union(low.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"), F.col("m").alias("a"))
+        small = small.union(least.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
         new = written(small.select("a", "b"), "edges")
-        drop_written(now)
-        now, state = new, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if state == seen:
+        drop_written(now, low, large, least)
+        now = new
+        # stars: every node has one edge to a smaller one, which has none
+        if now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() and now.groupBy("b").count().where("count > 1").isEmpty():
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
-        seen = state
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -203,26 +191,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(known.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
     nodes = known.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi")
     in_bands = written(nodes.select("id", "n", "sketch", F.xxhash64("id").alias("rank"), F.explode("bands").alias("key")), "bands")
+    odd = written(nodes.select("id", "n", "bands", *PARITIES).dropDuplicates(), "parities")
 
+    # in every bucket, all with one centre; the centres are written, so that hot buckets are split over tasks
     centres = in_bands.groupBy("key").agg(F.min(F.struct("rank", "id", "n", "sketch")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    met = in_bands.alias("x").join(centres.select("key", "c.*").alias("c"), "key").where(F.col("x.id") != F.col("c.id"))
-    tested = written(met.where(alike("x", "c", percent)).select(*pair("x.id", "c.id")).distinct(), "tested")
+    centres = written(centres.select("key", "c"), "centres")
+    met = in_bands.alias("x").join(centres.alias("y").select("key", "c.*").alias("c"), "key").where(F.col("x.id") != F.col("c.id"))
+    met = met.where(alike("x", "c", percent)).select(*pair("x.id", "c.id")).distinct()
+    near = met.join(odd.drop("bands").alias("x"), F.col("a") == F.col("x.id")).join(odd.drop("bands").alias("y"), F.col("b") == F.col("y.id"))
+    tested = written(near.where(near_enough("x", "y", percent)).select("a", "b").distinct(), "tested")
     links = written(confirmed(tested, texts, size, percent), "links")
     # an id with several different texts holds their classes together
-    same = known.join(classes, ["n", "d1", "d2"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("rep").alias("k")).where("k > 1 or a < id")
-    many = known.join(classes, ["n", "d1", "d2"]).select("id", "rep").distinct().join(same.where("k > 1").select("id", "a"), "id").select("a", F.col("rep").alias("b"))
+    same = known.join(classes, ["n", "d1", "d2"]).groupBy("id").agg(F.min("rep").alias("a"), F.count_distinct("rep").alias("k")).where("k > 1")
+    many = known.join(classes, ["n", "d1", "d2"]).select("id", "rep").distinct().join(same.select("id", "a"), "id").select("a", F.col("rep").alias("b"))
     links = links.union(written(many.where("a <> b"), "ids"))
     groups = written(components(links), "groups")
 
-    # what is apart after the centres, in buckets of three and more, is compared across groups
-    placed = in_bands.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # what is apart after the centres, in buckets of three and more, is compared across groups, a pair in
+    # the first bucket that it shares
+    placed = in_bands.select("id", "n", "sketch", "key").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("size > 2 and low < high")
-    odd = known.select("id", "n", *PARITIES).distinct()
-    rest = written(placed.join(open_keys.select("key"), "key", "left_semi").join(odd, ["id", "n"]), "rest")
+    open_keys = written(open_keys.select("key"), "open")
+    rest = written(placed.join(open_keys, "key", "left_semi").join(odd, ["id", "n"]), "rest")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-    across = rest.alias("x").join(rest.alias("y"), meet & alike("x", "y", percent) & near_enough("x", "y", percent))
-    untested = across.select(*pair("x.id", "y.id")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(confirmed(written(untested, "untested"), texts, size, percent), "more")
+    first = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    across = rest.alias("x").join(rest.alias("y"), meet & alike("x", "y", percent) & near_enough("x", "y", percent) & first)
+    untested = written(across.select(*pair("x.id", "y.id")).distinct().join(tested, ["a", "b"], "left_anti"), "untested")
+    drop_written(in_bands, odd, centres, open_keys, rest)
+    more = written(confirmed(untested, texts, size, percent), "more")
     if not more.isEmpty():
         groups = written(components(links.union(more)), "groups")
 
