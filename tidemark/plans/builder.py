@@ -72,6 +72,8 @@ class Builder:
         hops = self.catalog[self.tree.table].relationships.get(name)
         if not hops:
             raise QueryError(f"{self.tree.table} has no relationship {name}")
+        if len(hops) > 2:
+            raise QueryError(f"{name} has {len(hops)} hops; a relationship has one, or two over a junction")
         last = Builder(self.catalog, Query(hops[-1].table))
         last = change(last) if change else last
         query = last.tree.but(alias=alias)
