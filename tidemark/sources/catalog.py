@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,18 @@ class TableDef:
         self.relationships[name] = hops
         return self
 
+    def schema(self) -> T.StructType:
+        return self.load().schema
+
+
+def logical(t: T.DataType) -> str:
+    """The type that clients see."""
+    if isinstance(t, T.BooleanType):
+        return "boolean"
+    if isinstance(t, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        return "number"  # times as milliseconds
+    return "string" if isinstance(t, T.StringType) else "json"
+
 
 class Catalog(dict):
     """name -> TableDef."""
@@ -46,6 +59,39 @@ class Catalog(dict):
             found.add(name, lambda name=name: spark.read.parquet(f"{folder}/{name}.parquet"), key)
         return found
 
+    def declare(self, spark: SparkSession, name: str, columns: T.StructType | str, key) -> TableDef:
+        """An empty table of the given columns, until rows are added under its name."""
+        shape = T._parse_datatype_string(columns) if isinstance(columns, str) else columns
+        own = (key,) if isinstance(key, str) else tuple(key)
+        if missing := [k for k in own if k not in shape.names]:
+            raise ValueError(f"{name} has no column {missing[0]}")
+        return self.add(name, spark.createDataFrame([], shape), own)
+
+    def client_schema(self, names=None) -> dict:
+        """Tables with the logical types of their columns, their keys and relationships, as JSON for clients."""
+        out = {}
+        for name in sorted(names or self):
+            t = self[name]
+            columns = {f.name: {"type": logical(f.dataType), "optional": f.nullable and f.name not in t.key} for f in t.schema().fields}
+            hops = {n: [{"sourceField": list(h.parent), "destTable": h.table, "destField": list(h.child), "cardinality": "one" if h.one else "many"} for h in hs] for n, hs in sorted(t.relationships.items())}
+            out[name] = {"columns": columns, "primaryKey": list(t.key), "relationships": hops}
+        return {"tables": out}
+
+    def check(self) -> None:
+        """Raises ValueError where a relationship names a table or a column that is not there, or columns that don't pair."""
+        for name, t in self.items():
+            for relation, hops in t.relationships.items():
+                at = name
+                for h in hops:
+                    if h.table not in self:
+                        raise ValueError(f"{name}.{relation}: unknown table {h.table}")
+                    if len(h.parent) != len(h.child) or not h.parent:
+                        raise ValueError(f"{name}.{relation}: columns don't pair")
+                    for table, own in ((at, h.parent), (h.table, h.child)):
+                        if bad := [c for c in own if c not in self[table].schema().names]:
+                            raise ValueError(f"{name}.{relation}: {table} has no column {bad[0]}")
+                    at = h.table
+
     def lookup(self, name: str, key: tuple) -> DataFrame:
         """The row of a key; null parts match null."""
         from functools import reduce
