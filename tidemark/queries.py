@@ -7,12 +7,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import decoding
 from tidemark.operators.compile import compile_query, unnested
 from tidemark.plans import ast
 from tidemark.plans.builder import Registry, any_of, compare, hop
 from tidemark.sources.catalog import Catalog
+from tidemark.storage import new_path
 from tidemark.streaming import cdc, patches
-from tidemark.streaming.views import changes
+from tidemark.streaming.changelog import ChangeLog, Reset
+from tidemark.streaming.views import Replica, changes
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "labels": "doc_id"}
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -336,3 +339,209 @@ def _overlay(spark, c):
     rows = [(o["pos"], o["kind"], o["table"], o["row"], o["old_row"], None) for o in cdc.from_operations(ops)]
     pending = spark.createDataFrame(rows, "pos long, kind string, table string, row string, old_row string, tables array<string>")
     return cdc.overlaid(c["nation"].load(), pending, "nation", ("n_nationkey",)).select("n_nationkey", "n_name")
+
+
+# More changes for the table of orders: steps that depend on each other within one batch.
+def dependent_events(spark, c, steps, extra: str | None = None) -> DataFrame:
+    """Events of every order with o_orderkey % 10 = 1, its steps in turn; steps: (kind, row, old row) of JSON columns."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    rows = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), (none if row is None else F.to_json(F.struct(*row(k)))).alias("row"), (none if old is None else F.to_json(F.struct(*old(k)))).alias("old_row")) for n, (kind, row, old) in enumerate(steps)))
+    ev = c["orders"].load().where(k % 10 == 1).select(k.alias("k"), F.explode(rows).alias("s"))
+    ev = ev.select((F.col("k") * 10 + F.col("s.n")).alias("pos"), F.col("s.kind").alias("kind"), F.lit("orders").alias("table"), "s.row", "s.old_row")
+    more = [(10**11, "commit", None)] + ([(5, "truncate", ["orders"])] if extra == "truncate" else [])
+    return ev.unionByName(spark.createDataFrame(more, "pos long, kind string, tables array<string>"), allowMissingColumns=True)
+
+
+def key_of(expr):
+    return lambda k: [expr(k).alias("o_orderkey")]
+
+
+def dependent(name: str, sql: str, steps, extra: str | None = None) -> None:
+    @plain(name, sql)
+    def run(spark, c):
+        base = c["orders"].load().select("o_orderkey", "o_custkey", "o_orderstatus")
+        return cdc.fold(base, cdc.complete(dependent_events(spark, c, steps, extra)), "orders", ("o_orderkey",))
+
+
+SAME, MINUS, FAR = (lambda k: k), (lambda k: -k), (lambda k: k + 10**9)
+OTHERS = "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 10 <> 1 union all "
+dependent(
+    "cdc_update_then_move",
+    OTHERS + "select -o_orderkey, o_custkey, 'X' from orders where o_orderkey % 10 = 1",
+    [("update", lambda k: [k.alias("o_orderkey"), F.lit("X").alias("o_orderstatus")], None), ("update", key_of(MINUS), key_of(SAME))],
+)
+dependent(
+    "cdc_move_chain",
+    OTHERS + "select o_orderkey + 1000000000, o_custkey, o_orderstatus from orders where o_orderkey % 10 = 1",
+    [("update", key_of(MINUS), key_of(SAME)), ("update", key_of(FAR), key_of(MINUS))],
+)
+dependent(
+    "cdc_insert_then_move",
+    "select o_orderkey, o_custkey, o_orderstatus from orders union all select o_orderkey + 1000000000, 5, 'N' from orders where o_orderkey % 10 = 1",
+    [("insert", lambda k: [(-k).alias("o_orderkey"), F.lit(5).alias("o_custkey"), F.lit("N").alias("o_orderstatus")], None), ("update", key_of(FAR), lambda k: [(-k).alias("o_orderkey"), F.lit(5).alias("o_custkey"), F.lit("N").alias("o_orderstatus")])],
+)
+dependent(
+    "cdc_truncate_then_move",
+    "select -o_orderkey as o_orderkey, null::bigint as o_custkey, 'q' as o_orderstatus from orders where o_orderkey % 10 = 1",
+    [("update", lambda k: [(-k).alias("o_orderkey"), F.lit("q").alias("o_orderstatus")], key_of(SAME))],
+    "truncate",
+)
+
+
+def row_events(df: DataFrame, table: str, pos, kind: str, row, old=None) -> DataFrame:
+    """An event for each row; row and old: columns of their JSON objects."""
+    none = F.lit(None).cast("string")
+    text = lambda own: none if own is None else F.to_json(F.struct(*own))
+    return df.select(pos.cast("long").alias("pos"), F.lit(kind).alias("kind"), F.lit(table).alias("table"), text(row).alias("row"), text(old).alias("old_row"))
+
+
+def in_one_transaction(spark, *events: DataFrame) -> DataFrame:
+    every = spark.createDataFrame([(10**12, 10**12, "commit", None, None, None, None, None, None)], cdc.EVENTS)
+    for e in events:
+        every = every.unionByName(e, allowMissingColumns=True)
+    return every
+
+
+def live(spark, c, tables, build, name: str = "view") -> Replica:
+    """A replica with the given tables and one query."""
+    keys = {t: c[t].key for t in tables}
+    r = Replica(spark, new_path(spark, "replica"), keys)
+    r.load({t: c[t].load() for t in tables}, 0)
+    r.subscribe(name, build(Registry(c).from_).build())
+    return r
+
+
+def nation_renamed(spark, c) -> DataFrame:
+    k = F.col("n_nationkey")
+    return in_one_transaction(spark, row_events(c["nation"].load().where("n_nationkey < 5"), "nation", k + 1, "update", [k.alias("n_nationkey"), F.lit("new").alias("n_name")]))
+
+
+@plain("view_child_push", "select 'child' as op, c_custkey, case when c_nationkey < 5 then 'new' end as n_name from customer where c_nationkey < 5")
+def _child_push(spark, c):
+    r = live(spark, c, ["customer", "nation"], lambda f: f("customer").related("nation"))
+    return r.apply(nation_renamed(spark, c))["view"].select("op", "new.c_custkey", "new.nation.n_name")
+
+
+@plain(
+    "view_parent_push",
+    "select 'edit' as op, c_custkey, (c_nationkey + 1) % 25 as c_nationkey, n_name from customer join nation on n_nationkey = (c_nationkey + 1) % 25 where c_custkey % 7 = 0",
+)
+def _parent_push(spark, c):
+    r = live(spark, c, ["customer", "nation"], lambda f: f("customer").related("nation"))
+    k = F.col("c_custkey")
+    ev = row_events(c["customer"].load().where("c_custkey % 7 = 0"), "customer", k + 1, "update", [k, ((F.col("c_nationkey") + 1) % 25).alias("c_nationkey")])
+    out = r.apply(in_one_transaction(spark, ev))["view"]
+    return out.select("op", "new.c_custkey", "new.c_nationkey", "new.nation.n_name")
+
+
+@plain(
+    "view_exists_push",
+    f"""with n as ({FOLDED}), old as (select distinct o_custkey from orders where o_totalprice > 400000 and o_custkey is not null), new as (select distinct o_custkey from n where o_totalprice > 400000 and o_custkey is not null)
+  select 'remove' as op, o_custkey as c_custkey from old where o_custkey not in (select o_custkey from new) union all select 'add', o_custkey from new where o_custkey not in (select o_custkey from old)""",
+)
+def _exists_push(spark, c):
+    c.add("orders", c["orders"].load().drop("o_orderdate"), "o_orderkey")
+    r = live(spark, c, ["customer", "orders"], lambda f: f("customer").where_exists("orders", lambda o: o.where("o_totalprice", ">", 400000)))
+    return r.apply(order_events(spark, c))["view"].select("op", F.coalesce("new.c_custkey", "old.c_custkey").alias("c_custkey"))
+
+
+WINDOW = "(select * from {} order by o_totalprice desc nulls last, o_orderkey limit 50)"
+
+
+@plain(
+    "view_take_push",
+    f"""with n as ({FOLDED}), o as {WINDOW.format("orders")}, w as {WINDOW.format("n")}
+  select case when o.o_orderkey is null then 'add' when w.o_orderkey is null then 'remove' else 'edit' end as op, coalesce(w.o_orderkey, o.o_orderkey) as o_orderkey from o full join w on w.o_orderkey = o.o_orderkey
+  where o.o_orderkey is null or w.o_orderkey is null or o.o_orderstatus is distinct from w.o_orderstatus""",
+)
+def _take_push(spark, c):
+    c["orders"] = Catalog().add("orders", c["orders"].load().drop("o_orderdate"), "o_orderkey")
+    r = live(spark, c, ["orders"], lambda f: f("orders").order_by("o_totalprice", "desc").limit(50))
+    return r.apply(order_events(spark, c))["view"].select("op", F.coalesce("new.o_orderkey", "old.o_orderkey").alias("o_orderkey"))
+
+
+@plain("cdc_rename_midstream", "select n_nationkey, case when n_nationkey < 5 then 'old name' when n_nationkey >= 20 then 'new name' else n_name end as title, n_regionkey from nation union all select 99, 'late', null")
+def _rename(spark, c):
+    """Rows under the old column, the column's new name, the table's new name, rows under both."""
+    r = Replica(spark, new_path(spark, "replica"), {"nation": c["nation"].key})
+    r.load({"nation": c["nation"].load()}, 0)
+    k, rows = F.col("n_nationkey"), c["nation"].load()
+    columns = [("n_nationkey", "int"), ("title", "string"), ("n_regionkey", "int")]
+    relations = spark.createDataFrame([(1000, 1000, "relation", "nation", None, None, None, columns, None), (2000, 2000, "relation", "country", None, None, None, columns, "nation"), (9000, 9000, "insert", "country", '{"n_nationkey": 99, "title": "late"}', None, None, None, None)], cdc.EVENTS)
+    before = row_events(rows.where("n_nationkey < 5"), "nation", k + 1, "update", [k, F.lit("old name").alias("n_name")])
+    behind = row_events(rows.where("n_nationkey >= 20"), "country", k + 3000, "update", [k, F.lit("new name").alias("title")])
+    r.apply(in_one_transaction(spark, relations, before, behind))
+    return r.table("country")
+
+
+def two_queries(spark, c) -> Replica:
+    r = live(spark, c, ["nation", "region"], lambda f: f("region").related("nations", lambda n: n.where("n_nationkey", "<", 15)), "a")
+    r.subscribe("b", Registry(c).from_("nation").where("n_nationkey", ">", 9).build())
+    return r
+
+
+@plain("query_retraction", "select 'del' as op, 'nation' as \"table\", '{\"n_nationkey\":' || n_nationkey || '}' as row_id from nation where n_nationkey >= 15")
+def _retraction(spark, c):
+    return two_queries(spark, c).unsubscribe("b").select("op", "table", "row_id")
+
+
+@plain("cvr_resume", "select 'put' as op, 'nation' as \"table\", '{\"n_nationkey\":' || n_nationkey || '}' as row_id from nation where n_nationkey < 5 union all select 'del', 'nation', '{\"n_nationkey\":' || n_nationkey || '}' from nation where n_nationkey >= 15")
+def _resume_client(spark, c):
+    """A client takes both queries, and later, from a replica opened anew, one: changed rows and those it loses."""
+    r = two_queries(spark, c)
+    _, cookie = r.sync("client", ["a", "b"])
+    r.apply(nation_renamed(spark, c))
+    again = Replica(spark, r.folder)
+    return again.sync("client", ["a"], cookie)[0].select("op", "table", "row_id")
+
+
+@plain("lmid_table", "select user_id::varchar as client_id, max(event_id) as last_mutation_id from events group by 1")
+def _lmid(spark, c):
+    """Acknowledgements of mutations as an ordinary table: each event acknowledges its user's mutation."""
+    ev = row_events(c["events"].load(), cdc.MUTATIONS, F.col("event_id"), "insert", [F.col("user_id").cast("string").alias("client_id"), F.col("event_id").alias("last_mutation_id")])
+    base = spark.createDataFrame([], cdc.MUTATIONS_SCHEMA)
+    return cdc.fold(base, cdc.complete(in_one_transaction(spark, ev)), cdc.MUTATIONS, cdc.MUTATIONS_KEY)
+
+
+@plain("decode_timestamps", "select o_orderkey, epoch_ms(o_orderdate)::double as at, epoch_ms(date_trunc('day', o_orderdate)::timestamp)::double as day, epoch_ms(o_orderdate)::double - 7200000 as zoned from orders")
+def _timestamps(spark, c):
+    at = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    o = c["orders"].load().select("o_orderkey", at.alias("t"))
+    return o.select("o_orderkey", decoding.decoded(F.col("t"), "timestamp").alias("at"), decoding.decoded(F.substring("t", 1, 10), "date").alias("day"), decoding.decoded(F.concat("t", F.lit("+02")), "timestamptz").alias("zoned"))
+
+
+@plain("decode_arrays", "select n_nationkey, '[' || n_nationkey || ',null,' || n_regionkey || ']' as numbers, '[\"' || n_name || '\",\"a,b\",null]' as words from nation")
+def _arrays(spark, c):
+    n = c["nation"].load()
+    numbers, words = F.format_string("{%s,NULL,%s}", "n_nationkey", "n_regionkey"), F.concat(F.lit("{"), "n_name", F.lit(',"a,b",NULL}'))
+    return n.select("n_nationkey", decoding.decoded(numbers, "int4[]").alias("numbers"), decoding.decoded(words, "text[]").alias("words"))
+
+
+@plain("changelog_gap_reset", "select 'read' as state, count(*) as events from events where event_id > (select min(event_id) + 9 from events) union all select 'reset', 0")
+def _changelog(spark, c):
+    """A log of all events in two segments: a reader within it reads on, one behind what was pruned starts over."""
+    first = c["events"].load().agg(F.min("event_id")).first()[0]
+    ev = row_events(c["events"].load(), "events", F.col("event_id"), "insert", [F.col("event_id")])
+    log = ChangeLog(spark, new_path(spark, "log"))
+    log.append(cdc.shaped(ev.where(F.col("pos") < first + 10)))
+    log.append(cdc.shaped(ev))
+    log.prune_before(first + 10)
+    try:
+        state = f"{log.read_after(first).count()} read"
+    except Reset:
+        state = "reset"
+    read = log.read_after(first + 9).groupBy().count().select(F.lit("read").alias("state"), F.col("count").alias("events"))
+    return read.union(spark.createDataFrame([(state, 0)], "state string, events long"))
+
+
+@plain("client_patches", "select 'nation' as \"table\", '{\"n_nationkey\":' || n_nationkey || '}' as row_id, '{\"n_name\":\"' || case when n_nationkey < 5 then 'new' else n_name end || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' as row from nation where n_nationkey < 20")
+def _applied(spark, c):
+    """Rows that a client holds after puts, updates of one column and deletes."""
+    q = ast.query({"table": "nation"})
+    rows = patches.flat(compile_query(q, c), q, c)
+    n = F.get_json_object("row_id", "$.n_nationkey").cast("int")
+    put = rows.select(F.lit(1).cast("long").alias("n"), F.lit("put").alias("op"), "table", "row_id", "row")
+    update = rows.where(n < 5).select(F.lit(2).cast("long"), F.lit("update"), "table", "row_id", F.lit('{"n_name":"new"}'))
+    gone = rows.where(n >= 20).select(F.lit(3).cast("long"), F.lit("del"), "table", "row_id", F.lit(None).cast("string"))
+    return patches.applied(rows.select("table", "row_id", "row").limit(0), put.union(update).union(gone))

@@ -3,17 +3,20 @@
 An event has pos (its place in the stream), kind (begin, commit, insert, update, delete, truncate,
 relation), table, row and old_row (JSON objects; in row, an absent column is unchanged, which is not
 null), tables (of a truncate) and columns (of a relation). A batch of events is one aggregation by
-row: stored rows join in as events before all others, so no row is looked up or overwritten. Rows are
-followed through the batch's moves of keys first.
+row over the keys that it names: their stored rows join in as events before all others; the rest of the
+table passes through. Rows are followed through the batch's moves of keys first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.operators.compile import matching
 from tidemark.storage import drop_written, written
 
 EVENTS = "pos long, lsn long, kind string, table string, row string, old_row string, tables array<string>, columns array<struct<name:string,type:string>>, renamed_from string"
@@ -21,10 +24,18 @@ EVENTS = "pos long, lsn long, kind string, table string, row string, old_row str
 TRUE_TEXTS = ("t", "true", "TRUE", "yes", "on", "1")
 
 
-def complete(events: DataFrame, after: int = -1) -> DataFrame:
-    """Events behind `after`, each once, of transactions whose commit is here; later ones wait."""
-    last = events.where("kind = 'commit'").agg(F.max("pos")).first()[0]
-    return events.where((F.col("pos") > after) & (F.col("pos") <= F.lit(-1 if last is None else last))).dropDuplicates(["pos"])
+def shaped(events: DataFrame) -> DataFrame:
+    """Events with all columns of EVENTS, null where they have none."""
+    return events.sparkSession.createDataFrame([], EVENTS).unionByName(events, allowMissingColumns=True)
+
+
+def complete(events: DataFrame, after: int = -1, all_of: bool = False) -> DataFrame:
+    """Events behind `after`, each once, of transactions whose commit is here; later ones wait, unless `all_of` are asked for."""
+    new = events.where(F.col("pos") > after)
+    if not all_of:
+        last = events.where("kind = 'commit'").agg(F.max("pos")).first()[0]
+        new = new.where(F.col("pos") <= F.lit(-1 if last is None else last))
+    return new.dropDuplicates(["pos"])
 
 
 def touched(events: DataFrame) -> set[str]:
@@ -69,33 +80,57 @@ def _roots(entries: DataFrame, keys: list[str]) -> DataFrame:
     return links
 
 
+def _moved(key: tuple[str, ...]):
+    """Does an event, parsed by `_parsed`, move its row to another key?"""
+    differ = lambda k: F.array_contains("had", k) & F.array_contains("has", k) & ~F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return reduce(lambda a, b: a | b, (F.coalesce((F.col("kind") == "update") & differ(k), F.lit(False)) for k in key))
+
+
+def _parsed(events: DataFrame, table: str, shape: T.StructType) -> DataFrame:
+    """A table's row events with their rows as columns, and the columns that are there."""
+    own = events.where((F.col("table") == table) & F.col("kind").isin("insert", "update", "delete"))
+    return own.select("pos", "kind", F.from_json("row", shape).alias("r"), F.from_json("old_row", shape).alias("o"), F.json_object_keys("row").alias("has"), F.json_object_keys("old_row").alias("had"))
+
+
+def facts(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...]) -> tuple[int, bool]:
+    """The position of the last truncate of a table, -2 without any, and whether any row changes its key: one pass over the events."""
+    cuts = events.where((F.col("kind") == "truncate") & F.array_contains("tables", table)).select("pos", F.lit(False).alias("moves"))
+    moves = _parsed(events, table, base.schema).where(_moved(key)).select(F.lit(-2).cast("long").alias("pos"), F.lit(True).alias("moves"))
+    cleared, moves = cuts.union(moves).agg(F.max("pos"), F.max("moves")).first()
+    return -2 if cleared is None else cleared, bool(moves)
+
+
 def fold(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...]) -> DataFrame:
     """The table after the events: inserts and updates write, deletes and truncates remove.
 
     An insert of a stored key is an update, an update of a missing key an insert, a delete of a missing
     key nothing. An update that moves a key removes the old one; columns that it leaves out keep what the
     row under the old key has just before, from the table or from events before, through any number of
-    moves; a row under the new key is replaced. Null parts of keys are values like others.
+    moves; a row under the new key is replaced. Null parts of keys are values like others. Rows whose keys
+    no event names pass through as they are.
     """
+    cleared, moves = facts(base, events, table, key)
+    touched, rows = folded(base, events, table, key, cleared, moves)
+    return rows if cleared >= 0 else matching(base, touched, key, "left_anti").unionByName(rows)
+
+
+def folded(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...], cleared: int, moves: bool) -> tuple[DataFrame, DataFrame]:
+    """The keys that the events name, and the rows that these keys have after them; cleared and moves as by `facts`."""
     names = base.columns
     keys = [f"__k{n}" for n in range(len(key))]
-    own = events.where((F.col("table") == table) & F.col("kind").isin("insert", "update", "delete"))
-    own = own.select("pos", "kind", F.from_json("row", base.schema).alias("r"), F.from_json("old_row", base.schema).alias("o"), F.json_object_keys("row").alias("has"), F.json_object_keys("old_row").alias("had"))
-    cleared = events.where((F.col("kind") == "truncate") & F.array_contains("tables", table)).agg(F.coalesce(F.max("pos"), F.lit(-2)).alias("cleared"))
-    moved = F.lit(False)
-    for k in key:
-        moved = moved | F.coalesce((F.col("kind") == "update") & F.array_contains("had", k) & F.array_contains("has", k) & ~F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")), F.lit(False))
+    own, moved = _parsed(events, table, base.schema), _moved(key)
     nothing = F.lit(None).cast("array<string>")
     target = F.when(F.col("kind") == "delete", F.coalesce("o", "r")).otherwise(F.struct(*(F.when(F.array_contains("has", c), F.col(f"r.{c}")).otherwise(F.col(f"o.{c}") if c in key else F.lit(None)).alias(c) for c in names)))
     off = F.lit(False)
     writes = own.select("pos", (F.col("kind") == "delete").alias("gone"), target.alias("v"), F.when(F.col("kind") != "delete", F.col("has")).alias("has"), off.alias("leaving"), moved.alias("arriving"))
     leaving = own.where(moved).select("pos", F.lit(True).alias("gone"), F.col("o").alias("v"), nothing.alias("has"), F.lit(True).alias("leaving"), off.alias("arriving"))
-    before = base.select(F.lit(-1).cast("long").alias("pos"), off.alias("gone"), F.struct(*names).alias("v"), F.array(*map(F.lit, names)).alias("has"), off.alias("leaving"), off.alias("arriving"))
+    touched = writes.union(leaving).select(*(F.col(f"v.{k}").alias(k) for k in key)).distinct()
+    stored = matching(base, touched, key, "left_semi")  # the other rows take no part
+    before = stored.select(F.lit(-1).cast("long").alias("pos"), off.alias("gone"), F.struct(*names).alias("v"), F.array(*map(F.lit, names)).alias("has"), off.alias("leaving"), off.alias("arriving"))
     root = f"struct<pos:bigint,{','.join(f'{n}:{base.schema[k].dataType.simpleString()}' for n, k in zip(keys, key, strict=True))},moved:boolean>"
-    kept = lambda df: df.join(F.broadcast(cleared), F.col("pos") > F.col("cleared"), "inner").drop("cleared")  # noqa: E731  # one row
-    entries = lambda df: kept(df).select("*", *_key(F.col("v"), key), F.lit(None).cast(root).alias("root"))
+    entries = lambda df: df.where(F.col("pos") > cleared).select("*", *_key(F.col("v"), key), F.lit(None).cast(root).alias("root"))
     every = entries(before.union(writes).union(leaving))
-    if not own.where(moved).isEmpty():
+    if moves:
         # only keys that moves leave or reach tell where the moved rows come from
         ends = entries(writes.where("arriving").union(leaving)).select(*(F.col(k).alias(f"{k}m") for k in keys)).distinct()
         on = F.expr(" and ".join(f"{k} <=> {k}m" for k in keys))
@@ -108,7 +143,7 @@ def fold(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...]) -
         F.max_by(F.struct((F.col("gone") | F.col("replaced")).alias("gone"), *keys), "pos").alias("last"),
         *(F.max_by(F.struct(F.col(f"v.{c}").alias("v")), F.when(F.array_contains("has", c), F.col("pos"))).alias(f"__c{n}") for n, c in enumerate(names)),
     )
-    return merged.where("not last.gone").select(*((F.col(f"last.{keys[key.index(c)]}") if c in key else F.col(f"__c{n}.v")).alias(c) for n, c in enumerate(names)))
+    return touched, merged.where("not last.gone").select(*((F.col(f"last.{keys[key.index(c)]}") if c in key else F.col(f"__c{n}.v")).alias(c) for n, c in enumerate(names)))
 
 
 def converted(column, old: T.DataType, new: str):
@@ -136,6 +171,67 @@ def evolved(df: DataFrame, columns: list[tuple[str, str]], rename: bool = True)
     return df.select(*((converted(F.col(source[n]), old[source[n]], t) if n in source else F.lit(None).cast(t)).alias(n) for n, t in columns))
 
 
+def reshaped(df: DataFrame, events: DataFrame, table: str, key: tuple[str, ...], write) -> DataFrame | None:
+    """The table after a batch in which its columns change, None if none does: events up to a relation count
+    under the old columns, those behind it under the new ones. write: stores a step's rows and reads them back."""
+    shapes = events.where((F.col("kind") == "relation") & (F.col("table") == table)).orderBy("pos").select("pos", "columns").collect()  # changes of schema
+    own = events.where(F.col("kind") != "relation")
+    last, changed = -1, False
+    for pos, columns in shapes:
+        new = [(c.name, c.type) for c in columns or ()]
+        if not new or [(f.name, f.dataType) for f in df.schema.fields] == [(n, T._parse_datatype_string(t)) for n, t in new]:
+            continue
+        df = write(evolved(fold(df, own.where((F.col("pos") > last) & (F.col("pos") < pos)), table, key), new))
+        last, changed = pos, True
+    return write(fold(df, own.where(F.col("pos") > last), table, key)) if changed else None
+
+
+def renames(events: DataFrame, known: dict[str, str], tables) -> dict[str, str]:
+    """`known` with the names that relations give to stored tables: new name -> the name they are stored under."""
+    found = dict(known)
+    for name, was in events.where("kind = 'relation' and renamed_from is not null").orderBy("pos").select("table", "renamed_from").collect():  # changes of schema
+        stored = found.get(was, was)
+        if name not in tables and name not in found and stored in tables:
+            found[name] = stored
+    return found
+
+
+def under_stored_names(events: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Events with tables by the names they are stored under."""
+    if not names:
+        return events
+    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    of = lambda c: F.coalesce(F.try_element_at(table, c), c)
+    return events.withColumn("table", of(F.col("table"))).withColumn("tables", F.transform("tables", of))
+
+
+#: An ordinary table in which each client's last mutation is acknowledged, with the rows that it wrote.
+MUTATIONS, MUTATIONS_KEY, MUTATIONS_SCHEMA = "client_mutations", ("client_id",), "client_id string, last_mutation_id long"
+
+
+def from_mutations(mutations: list[dict], last: dict[str, int], first: int = 0) -> list[dict]:
+    """Mutations {client, id, operations} as events, each a transaction with its acknowledgement.
+
+    last: the ids acknowledged so far, by client. An id that is not larger was applied before and is left
+    out, so a mutation that is sent again changes nothing and an acknowledgement never goes back.
+    """
+    import json
+
+    last, out = dict(last), []
+    add = lambda **e: out.append({"pos": first + len(out), "table": None, "row": None, "old_row": None} | e)
+    for m in mutations:
+        if m["id"] <= last.get(m["client"], 0):
+            continue
+        last[m["client"]] = m["id"]
+        add(kind="begin")
+        for o in from_operations(m["operations"]):
+            o.pop("pos")
+            add(**o)
+        add(kind="insert", table=MUTATIONS, row=json.dumps({"client_id": m["client"], "last_mutation_id": m["id"]}))
+        add(kind="commit")
+    return out
+
+
 def from_operations(operations: list[dict], first: int = 0) -> list[dict]:
     """Row operations (insert, upsert, update, delete) as events. update keeps what it leaves out."""
     import json

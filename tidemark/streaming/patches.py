@@ -49,3 +49,23 @@ def patches(old: DataFrame, new: DataFrame) -> DataFrame:
     both = o.join(new.select("table", "row_id", "row", "fingerprint"), ["table", "row_id"], "full_outer")
     op = F.when(F.col("fingerprint").isNull(), "del").when(~F.col("was").eqNullSafe(F.col("fingerprint")), "put")
     return both.select(op.alias("op"), "table", "row_id", "row").where("op is not null")
+
+
+def applied(rows: DataFrame, patch: DataFrame) -> DataFrame:
+    """What a client holds, (table, row_id, row), after patches (n, op, table, row_id, row) in order of n.
+
+    `put` sets a row; `update` sets the columns that its row has and keeps the others, and does nothing
+    where there is no row; `del` removes it; `clear` removes all before it.
+    """
+    last = patch.where("op = 'clear'").agg(F.coalesce(F.max("n"), F.lit(-1)).alias("cleared"))
+    steps = rows.select(F.lit(-1).cast("long").alias("n"), F.lit("put").alias("op"), "table", "row_id", "row").union(patch.where("op <> 'clear'").select(F.col("n").cast("long"), "op", "table", "row_id", "row"))
+    steps = steps.join(F.broadcast(last), (F.col("n") > F.col("cleared")) | ((F.col("n") == -1) & (F.col("cleared") == -1)))  # one row
+    own = F.array_sort(F.collect_list(F.struct("n", "op", "row")))
+    values = lambda row: F.from_json(row, "map<string,variant>")  # noqa: E731  # values keep their types
+    merge = lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    nothing = F.lit(None).cast("map<string,variant>")
+    step = lambda held, s: F.when(s["op"] == "put", values(s["row"])).when(s["op"] == "del", nothing).otherwise(F.when(held.isNotNull(), merge(held, values(s["row"]))))
+    held = steps.groupBy("table", "row_id").agg(own.alias("all")).select("table", "row_id", F.aggregate("all", nothing, step).alias("m"))
+    names = F.array_sort(F.map_keys("m"))
+    row = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at("m", k)))  # columns by name, as in `flat`
+    return held.where("m is not null").select("table", "row_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("row"))
