@@ -18,7 +18,7 @@ def brute(rows):
         found, n = [], 0
         for line in (t or "").split("\n"):
             ts = licenses.terms_of(line)
-            if any(c in line.lower() for c in licenses.CUES) and ts:
+            if ts:
                 best = max((cos(vec(ts), vec(licenses.terms_of(x))), name) for name, x in licenses.TEMPLATES)
                 if best[0] >= licenses.LEAST:
                     found.append(best)
@@ -76,3 +76,15 @@ def test_licence_files_wrapped_and_long_lines(spark):
     docs = spark.createDataFrame([(k, t, p) for k, (p, t, _) in enumerate(rows)], "doc_id long, text string, p string")
     found = {r.path: r.license for r in licenses.scan_licenses(docs, licenses.F.col("p")).collect()}
     assert found == {p: want for p, _, want in rows}
+
+
+def test_ties_and_lines_without_any_cue(spark):
+    filler = "lorem ipsum dolor sit amet " * 40
+    part = "modification, are permitted provided that the following conditions are met"
+    rows = [(1, f"{filler}\n{part}\n{filler}", "a/x"), (2, "Released under the MIT License.", "b/LICENSE"), (3, "Released under the MIT License.", "b/COPYING"), (4, filler, "b/y")]
+    common = "and lorem use in ipsum source binary dolor forms with or sit without amet " + filler  # words that tell little
+    rows += [(100 + k, common, f"c/{k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p string")
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs, licenses.F.col("p")).collect()}
+    assert found[1].license == "BSD-3-Clause" and found[1].origin == "own"
+    assert found[4].license == "MIT" and found[4].licensed_by == "b"

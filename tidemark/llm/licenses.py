@@ -44,9 +44,6 @@ HEADERS = (
 )
 #: Licence texts in full, compared with whole documents.
 TEXTS = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
-#: Lines without any of these words are not looked at as lines, only in windows: each template has one.
-CUES = ("license", "licence", "licensed", "copyright", "redistribution", "permission is hereby", "public domain")
-CUE = "(?i)" + "|".join(CUES)
 LEAST = 0.6
 #: A document is a licence file if its licence passages have this share of its terms.
 FILE_SHARE = 0.5
@@ -171,11 +168,13 @@ def verdict(text, idf: dict[str, float], other: float) -> "F.Column":
     units = [(name, unit(t, idf), len(terms_of(t))) for name, t in TEMPLATES + HEADERS]
     wholes = [(name, unit(t, idf), len(terms_of(t))) for name, t in TEXTS]
     rare = sorted({t for _, v, _ in units + wholes for t in anchors(v, idf)})
+    rare_in_lines = sorted({t for _, v, _ in units[: len(TEMPLATES)] for t in anchors(v, idf)})
     passage_weight, whole_weight = literal_map({t: idf[t] for t in PASSAGE_TERMS}), literal_map(idf)
 
     def of_lines():
-        lines = F.when(text.rlike(CUE), F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))
-        scored = F.transform(F.transform(lines, lambda x: terms(x)), lambda p: F.when(F.size(p) > 0, F.struct(cosines(p, idf, other).alias("c"), F.size(p).alias("n"))))
+        # a line without an anchor is not similar to any template
+        lines = F.filter(F.transform(F.split(text, "\n"), lambda x: terms(x)), lambda p: F.exists(p, lambda x: x.isin(rare_in_lines)))
+        scored = F.transform(lines, lambda p: F.struct(cosines(p, idf, other).alias("c"), F.size(p).alias("n")))
         return F.transform(F.filter(scored, lambda x: x["c"]["similarity"] >= LEAST), lambda x: F.struct(x["c"]["similarity"].alias("similarity"), x["c"]["license"].alias("license"), x["n"].alias("n")))
 
     def of(a):
@@ -224,8 +223,8 @@ def parent(path) -> "F.Column":
 def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, path, license, similarity, origin, licensed_by), one row for each row of `docs`, whole texts.
 
-    Lines with a cue, and all windows of a template's length, are compared with the templates; whole
-    documents with the licence texts. The document's own licence (`own`) is the licence text it is like by
+    Lines, and windows of a template's length, are compared with the templates, all that can be similar
+    enough; whole documents with the licence texts. The document's own licence (`own`) is the licence text it is like by
     LEAST, or else that of its best line or window, if similar by LEAST. A document like a licence text, or
     with FILE_SHARE of its terms in licence lines or windows, is a licence file. Others take the licence of
     the nearest directory above them with a licence file (`inherited`, licensed_by is that directory), or
@@ -246,6 +245,7 @@ def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str =
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, F.lit(1), k), "/").alias("up")))
     ups = own.where("dir is not null").select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("a")).select("dir", "a.depth", "a.up")
     nearest = ups.join(licensed.select(F.col("dir").alias("up"), F.col("own").alias("given")), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "given")).alias("near"))
+    nearest = written(nearest, "directories")  # apart from the aggregation's partitions, so that a hot directory's documents are split over tasks
     out = own.join(nearest, "dir", "left")
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select(
@@ -265,6 +265,7 @@ def document_path() -> "F.Column":
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`scan_licenses` of all of `documents` under stand-in paths; cases as stated there."""
     return scan_licenses(table(spark, sf_dir, "documents"), document_path())
 
 
@@ -283,7 +284,7 @@ idf as (select t, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 as w from voca
 other as (select ln(1 + n) + 1 as w from total),
 tv as (select k, license, t, c * w as w from tt join idf using (t)),
 tn as (select k, sqrt(sum(w * w)) as size from tv group by 1),
-lines as (select doc_id, i, ln from (select doc_id, unnest(string_split(text, chr(10))) as ln, generate_subscripts(string_split(text, chr(10)), 1) as i from d) where regexp_matches(ln, '{CUE}')),
+lines as (select doc_id, i, ln from (select doc_id, unnest(string_split(text, chr(10))) as ln, generate_subscripts(string_split(text, chr(10)), 1) as i from d)),
 lt as (select doc_id, i, t, count(*) as c from (select doc_id, i, unnest(regexp_extract_all(lower(ln), '[a-z0-9]+')) as t from lines) group by all),
 lv as (select doc_id, i, lt.t, c, c * coalesce(idf.w, other.w) as w from lt left join idf on idf.t = lt.t, other),
 lnorm as (select doc_id, i, sqrt(sum(w * w)) as size, sum(c) as n from lv group by 1, 2),
