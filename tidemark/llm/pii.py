@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table, type_of
+from tidemark.llm.common import kept, slices, table, type_of
 
 #: Kinds in order of report. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "address")
 BASE = KINDS[:4]
 
-SCHEMES = ("http://", "https://", "ftp://")
+SCHEMES = tuple(form(s) for s in ("http://", "https://", "ftp://") for form in (str.lower, str.upper, str.capitalize))
 IBAN_CUES = ("IBAN", "iban", "Iban")
 ACCOUNT_CUES = ("account", "Account", "ACCOUNT", "acct", "Acct", "Konto", "konto", "Kontonummer", "cuenta", "Cuenta", "compte", "Compte")
-STREET_CUES = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", " Ave.", " Blvd.")
+STREET_CUES = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", " Square", " Court", " Terrace", " Way", " St.", " Ave.", " Rd.", " Blvd.", " Dr.")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,7 +155,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def work(batches):
-        found = automaton()
+        found = kept("pii", automaton)
         for b in slices(batches):
             out = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, found)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, SPANS)], names=[id_col, "spans"])
@@ -178,4 +178,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(of(*BASE)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[4:]),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -199,4 +199,5 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(of(*BASE)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.size(of("random")).cast("long").alias("n_random"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
