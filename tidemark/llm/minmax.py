@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_written, hashed, slices, table, words_of, written
+from tidemark.llm.common import drop_written, free_name, hashed, kept, slices, table, words_of, written
 
 PERMUTATIONS, ROWS, BANDS = 100, 5, 40
 #: Pairs whose 64-bit sketches differ in more bits are not confirmed: at similarity 0.8 the mean is 6.4, the deviation 2.4.
@@ -93,6 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     """(id, n, d1, d2, sketch, bands, parities) of each row; n = 0 and no bands without words."""
 
     def work(batches):
+        kept("near-duplicates", dict)  # lets go of what other stages kept
         for b in slices(batches):
             out = {k: [] for k in ("n", "d1", "d2", "sketch", "bands")}
             odd = []
@@ -116,6 +117,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """Those of `pairs` (a, b) whose full shingle sets are similar enough. Texts travel, once a pair, not sets."""
 
     def work(batches):
+        kept("near-duplicates", dict)
         last, own = None, None
         for b in slices(batches):
             keep = []
@@ -232,23 +234,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """`docs`, all columns, with one row of each group of near-duplicates: that of the smallest id.
 
     Rows of one id count as one document: the row with the smallest text (null first) stays. Rows
-    without id stay.
+    without id stay, and so does one row of each document without text or words. An empty table stays
+    empty; columns may have any names.
     """
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, id_col, text_col, size, percent)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    repeated = docs.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    own = free_name(docs, "own_id")
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias(own)).distinct()
+    left = docs.join(gone, docs[id_col] == F.col(own), "left_anti")
+    repeated = written(docs.groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias("rows")).where(f"rows > 1 and {own} is not null").select(own), "repeated")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, left[id_col] == F.col("__again"), "left_anti")
-    again = left.join(repeated, left[id_col] == F.col("__again"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return once.unionByName(again.withColumn("__first", first).where("__first = 1").drop("__first"))
+    once = left.join(repeated, left[id_col] == F.col(own), "left_anti")
+    again = left.join(repeated, left[id_col] == F.col(own), "left_semi")
+    # the smallest text of an id by a pre-aggregated minimum: rows of one id, however many, never meet in a task
+    row = F.struct(*docs.columns)
+    first = again.groupBy(id_col).agg(F.min_by(row, F.struct(text_col, F.to_json(row))).alias(own)).select(f"{own}.*")
+    return once.unionByName(first)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`near_duplicates` of all of `documents`, by two-word shingles; cases as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
