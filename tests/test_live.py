@@ -268,3 +268,61 @@ def test_related_children_are_narrowed_to_their_parents(spark):
     joins = lambda q: compile_query(q, c)._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi")
     assert joins(f("p").where("g", 3).related("kids", lambda k: k.limit(2)).build()) == 1
     assert joins(f("p").related("kids", lambda k: k.limit(2)).build()) == 0
+
+
+def test_snapshots(spark, tmp_path):
+    r = replica(spark, tmp_path / "r")
+    r.apply(batch(spark, 1, ("insert", "issue", {"id": "9", "title": "late"})))
+    r.export(f"file://{tmp_path}/shot")
+    ev = batch(spark, 5, ("delete", "issue", None, {"id": "0"}))
+    r.apply(ev)
+    own = Replica.restored(spark, f"file://{tmp_path}/own", f"file://{tmp_path}/shot")
+    assert own.state["pos"] == 2 and own.keys["issue"] == ("id",)
+    own.apply(ev)
+    assert rows(own.table("issue")) == rows(r.table("issue")) and rows(own.table("comment")) == rows(r.table("comment"))
+
+
+def test_steps_of_a_client(spark, tmp_path):
+    r = replica(spark, tmp_path / "r")
+    m = QueryManager(r, clock=lambda: 0.0)
+    put = lambda h, **q: {"op": "put", "hash": h, "query": {"table": "issue"} | q, "ttl": "none"}
+    m.patch([put("a"), put("b", limit=1), put("a")])
+    assert len(r.queries) == 2 and sum(w.count for w in m.wanted.values()) == 2
+    m.patch([{"op": "del", "hash": "a"}, {"op": "del", "hash": "zz"}])
+    assert [q.limit for q in r.queries.values()] == [1]
+    m.patch([{"op": "clear"}])
+    assert r.queries == {}
+
+
+def test_named_mutations_and_context(spark, tmp_path):
+    r = replica(spark, tmp_path / "r")
+    reg = Registry(r.catalog())
+
+    @reg.query("mine")
+    def mine(from_, least, ctx):
+        return from_("issue").where("prio", ">=", least).where("id", ctx["user"])
+
+    @reg.mutator("rename", check=lambda i, title: None if title else (_ for _ in ()).throw(ValueError("no title")))
+    def rename(i, title, ctx):
+        return [{"op": "update", "table": "issue", "row": {"id": i, "title": f"{title} by {ctx}"}}]
+
+    reg.mutator("wrong")(lambda: [{"op": "update", "table": "issue", "row": {"title": "x"}}])
+    assert [x.id for x in compile_query(reg.resolve("mine", 1, ctx={"user": "4"}), r.catalog()).collect()] == ["4"]
+    ops = reg.mutate("rename", "4", "new", ctx="me")
+    own = cdc.from_mutations([{"client": "c", "id": 1, "operations": ops}], {}, 1)
+    r.apply(spark.createDataFrame([(e["pos"], e["pos"], e["kind"], e["table"], e["row"], e["old_row"], None, None, None) for e in own], cdc.EVENTS))
+    assert rows(r.table("issue").where("id = '4'").select("title")) == [("new by me",)]
+    for bad in (lambda: reg.mutate("rename", "4", ""), lambda: reg.mutate("wrong"), lambda: reg.mutate("none")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_indexed_files_are_skipped(spark, tmp_path):
+    from tidemark.sources.layout import write_indexed
+
+    import pyarrow.parquet as pq
+
+    write_indexed(spark.range(1000).selectExpr("id", "id % 7 as g"), f"{tmp_path}/t", ("id",), 4)
+    spans = sorted((s.min, s.max) for p in tmp_path.glob("t/*.parquet") for s in [pq.ParquetFile(p).metadata.row_group(0).column(0).statistics])
+    assert len(spans) == 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert spark.read.parquet(f"{tmp_path}/t").where("id = 500").count() == 1

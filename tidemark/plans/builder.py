@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field
 
 from tidemark.plans.ast import HIDDEN_PREFIX, Exists, Group, Operand, Query, QueryError, Related, Simple, Start
@@ -103,17 +104,29 @@ class Registry:
         """Decorator: fn(*args) -> list of row operations."""
         return lambda fn: self.mutators.setdefault(name, (fn, check)) and fn
 
-    def resolve(self, name: str, *args) -> Query:
+    def resolve(self, name: str, *args, ctx=None) -> Query:
+        """The tree of a named query. ctx: who asks; goes to functions with a parameter of that name."""
         fn, check = self._found(self.queries, name)
         if check:
             check(*args)
-        return fn(self.from_, *args).build()
+        return fn(self.from_, *args, **self._ctx(fn, ctx)).build()
 
-    def mutate(self, name: str, *args) -> list[dict]:
+    def mutate(self, name: str, *args, ctx=None) -> list[dict]:
+        """The row operations of a named mutation."""
         fn, check = self._found(self.mutators, name)
         if check:
             check(*args)
-        return list(fn(*args))
+        out = list(fn(*args, **self._ctx(fn, ctx)))
+        for o in out:
+            if o.get("op") not in ("insert", "upsert", "update", "delete") or o.get("table") not in self.catalog:
+                raise QueryError(f"not an operation on a known table: {o}")
+            if missing := [k for k in self.catalog[o["table"]].key if k not in o.get("row", {})]:
+                raise QueryError(f"{name} leaves out the key column {missing[0]}")
+        return out
+
+    @staticmethod
+    def _ctx(fn, ctx) -> dict:
+        return {"ctx": ctx} if "ctx" in inspect.signature(fn).parameters else {}
 
     @staticmethod
     def _found(known: dict, name: str):

@@ -130,20 +130,31 @@ def folded(base: DataFrame, events: DataFrame, table: str, key: tuple[str, ...],
     root = f"struct<pos:bigint,{','.join(f'{n}:{base.schema[k].dataType.simpleString()}' for n, k in zip(keys, key, strict=True))},moved:boolean>"
     entries = lambda df: df.where(F.col("pos") > cleared).select("*", *_key(F.col("v"), key), F.lit(None).cast(root).alias("root"))
     every = entries(before.union(writes).union(leaving))
-    if moves:
-        # only keys that moves leave or reach tell where the moved rows come from
-        ends = entries(writes.where("arriving").union(leaving)).select(*(F.col(k).alias(f"{k}m") for k in keys)).distinct()
-        on = F.expr(" and ".join(f"{k} <=> {k}m" for k in keys))
-        slim = every.select("pos", "gone", "leaving", "arriving", *keys, "root")
-        roots = _roots(slim.join(ends, on, "left_semi"), keys)
-        arrivals = entries(writes.where("arriving")).drop("root").join(roots, "pos", "left")
-        every = entries(before.union(writes.where("not arriving")).union(leaving)).unionByName(arrivals)
+    if not moves:
+        return touched, _merged_by_key(every, keys, key, names)
+    # keys that moves leave or reach are followed; no row goes from them to other keys, or comes from there
+    ends = written(entries(writes.where("arriving").union(leaving)).select(*(F.col(k).alias(f"{k}m") for k in keys)).distinct(), "ends")
+    on = F.expr(" and ".join(f"{k} <=> {k}m" for k in keys))
+    own_lines = every.join(ends, on, "left_semi")
+    roots = _roots(own_lines.select("pos", "gone", "leaving", "arriving", *keys, "root"), keys)
+    arrivals = entries(writes.where("arriving")).drop("root").join(roots, "pos", "left")
+    own_lines = own_lines.where("not arriving").unionByName(arrivals)
     # state of a row: what its entries wrote, the latest for each column; a row that leaves a key goes on elsewhere
-    merged = _timelines(every, keys).where("not leaving").groupBy("line").agg(
+    merged = _timelines(own_lines, keys).where("not leaving").groupBy("line").agg(
         F.max_by(F.struct((F.col("gone") | F.col("replaced")).alias("gone"), *keys), "pos").alias("last"),
         *(F.max_by(F.struct(F.col(f"v.{c}").alias("v")), F.when(F.array_contains("has", c), F.col("pos"))).alias(f"__c{n}") for n, c in enumerate(names)),
     )
-    return touched, merged.where("not last.gone").select(*((F.col(f"last.{keys[key.index(c)]}") if c in key else F.col(f"__c{n}.v")).alias(c) for n, c in enumerate(names)))
+    moved_rows = merged.where("not last.gone").select(*((F.col(f"last.{keys[key.index(c)]}") if c in key else F.col(f"__c{n}.v")).alias(c) for n, c in enumerate(names)))
+    return touched, _merged_by_key(every.join(ends, on, "left_anti"), keys, key, names).unionByName(moved_rows)
+
+
+def _merged_by_key(entries: DataFrame, keys: list[str], key: tuple[str, ...], names: list[str]) -> DataFrame:
+    """The rows of keys that no move touches: what was written behind the last removal, the latest for each column."""
+    cut = F.max(F.when(F.col("gone"), F.col("pos"))).over(Window.partitionBy(*keys))
+    alive = entries.select("pos", "gone", "v", "has", *keys, cut.alias("cut")).where("not gone and (cut is null or pos > cut)")
+    latest = {c: F.max_by(F.struct(F.col(f"v.{c}").alias("v")), F.when(F.array_contains("has", c), F.col("pos"))).alias(f"__c{n}") for n, c in enumerate(names) if c not in key}
+    merged = alive.groupBy(*keys).agg(F.count("*").alias("__n"), *latest.values())
+    return merged.select(*((F.col(keys[key.index(c)]) if c in key else F.col(f"__c{n}.v")).alias(c) for n, c in enumerate(names)))
 
 
 def converted(column, old: T.DataType, new: str):

@@ -7,7 +7,7 @@ import re
 import time
 from dataclasses import dataclass, field
 
-from tidemark.plans.ast import Query
+from tidemark.plans.ast import Query, query
 
 # fixed values: seconds by unit, the usual time to live and the longest
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -49,6 +49,7 @@ class QueryManager:
     replica: object
     clock: object = time.time
     wanted: dict[str, Wanted] = field(default_factory=dict)
+    released: dict = field(default_factory=dict)  # a client's name for a query -> what releases it
 
     def add(self, query: Query, ttl="5m"):
         """Registers interest; the name of the query and a function that releases it, once."""
@@ -71,6 +72,20 @@ class QueryManager:
 
         return name, release
 
+    def patch(self, steps: list[dict]) -> None:
+        """Steps {op: put, hash, query, ttl?}, {op: del, hash} and {op: clear} that a client sends; `hash` is its own name for a query."""
+        for s in steps:
+            if s["op"] == "put":
+                if s["hash"] not in self.released:
+                    self.released[s["hash"]] = self.add(query(s["query"]), s.get("ttl", "5m"))[1]
+            elif s["op"] == "del":
+                self.released.pop(s["hash"], lambda: None)()
+            elif s["op"] == "clear":
+                while self.released:
+                    self.released.popitem()[1]()
+            else:
+                raise ValueError(f"unknown step {s['op']}")
+
     def collect(self) -> list[str]:
         """Ends queries whose time is over; their names."""
         now = self.clock()
