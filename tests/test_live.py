@@ -52,7 +52,7 @@ def test_queries_stay_as_if_computed_anew(spark, tmp_path, monkeypatch):
     for name, q in trees.items():
         r.subscribe(name, q)
     draw, first = random.Random(3), 1
-    for _ in range(4):
+    for _ in range(3):
         ops = []
         for _ in range(draw.choice([1, 2, 5])):
             if draw.random() < 0.5:

@@ -79,7 +79,7 @@ def test_random_trees(spark):
             order = [p.split()[0] for p in shape.split(", ")]
             c.add(name, spark.createDataFrame([tuple(r[k] for k in order) for r in rows], shape), KEYS[name])
         own = Plain(data, KEYS)
-        for _ in range(14):
+        for _ in range(10):
             t = tree(draw, draw.choice("abc"), 2)
             found = [plain(r) for r in compile_query(ast.query(t), c).collect()]
             assert found == own.run(t), t
