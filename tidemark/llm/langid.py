@@ -163,6 +163,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = labelled.join(F.broadcast(rates), "g").where(place < F.col("rate")).select("t", "g")  # a row for each language
 
     def count(batches):
+        kept("langid-learn", dict)  # lets go of what other stages kept
         found: dict[str, dict[str, int]] = {}
         for b in slices(batches):
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table, type_of
+from tidemark.llm.common import kept, slices, table, type_of
 from tidemark.llm.pii import SPANS, joined
 
 #: Kinds in order of report. The first three are the base kinds.
@@ -113,6 +113,7 @@ def identifier_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     n = len(SYMBOLS)
 
     def count(batches):
+        kept("secrets", dict)  # lets go of what other stages kept
         every, first = np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
         for b in slices(batches):
             pieces = []

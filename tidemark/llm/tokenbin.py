@@ -216,6 +216,7 @@ def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = False) -> Da
         return spark.createDataFrame([], schema)
 
     def work(batches):
+        kept("tokens-read", dict)  # the encoder goes
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids, off = mapped(f"{out_dir}/{name}.ids", dtype), mapped(f"{out_dir}/{name}.off", "<i8")
